@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemmata.llm import langid, linededup
+from lemmata.llm import decontaminate, langid, linededup, mixing, neardup
 from lemmata.llm.common import materialize, table
 
 
@@ -23,7 +23,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs)
 
 
-STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines)]
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one of the smallest doc_id."""
+    return neardup.keep_one(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.remove_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document: doc_id, source, size, source_size, target, taken."""
+    return mixing.mixing_report(docs)
+
+
+STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines), ("near_dedup", dedup_documents), ("decontamination", remove_benchmark), ("source_mix", mix_sources)]
 
 #: Compression, signatures and pseudorandom permutations have no SQL form.
 ORACLE_SQL = None
