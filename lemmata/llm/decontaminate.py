@@ -74,13 +74,17 @@ def _block_values(fingerprint: Column) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftright(fingerprint, low).bitwiseAND(F.lit((1 << n) - 1)).alias("value")) for i, (low, n) in enumerate(_widths())))
 
 
+def _listed_under(block: int, own: Column):
+    return lambda mask: F.struct(F.lit(block).alias("block"), own.bitwiseXOR(mask.cast("long")).alias("value"))
+
+
 def _near_values(fingerprint: Column) -> Column:
     """All values of all blocks within the bits that the pigeonhole principle allows a block."""
     allowed, out = RADIUS // BLOCKS, []
     for i, (low, n) in enumerate(_widths()):
         masks = [sum(1 << b for b in c) for k in range(allowed + 1) for c in combinations(range(n), k)]
         own = F.shiftright(fingerprint, low).bitwiseAND(F.lit((1 << n) - 1))
-        out.append(F.transform(F.array(*map(F.lit, masks)), lambda m, own=own, i=i: F.struct(F.lit(i).alias("block"), own.bitwiseXOR(m.cast("long")).alias("value"))))
+        out.append(F.transform(F.array(*map(F.lit, masks)), _listed_under(i, own)))
     return F.concat(*out)
 
 

@@ -1,0 +1,283 @@
+"""The operators against brute force, on driver rows and on rows made to be awkward."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import duckdb
+import pytest
+
+from lemmata.llm import chat, decontaminate, langid, linededup, lmscore, media, mixing, neardup, repeats, secrets
+from lemmata.llm.queries import QUERIES, SQL
+
+from . import brute
+
+SMALL = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, size long, component string"
+
+
+def rows_of(df, columns):
+    key = lambda r: tuple((x is None, x) for x in r)
+    return sorted((tuple(r[c] for c in columns) for r in df.select(*columns).collect()), key=key)
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, x) for x in r))
+
+
+@pytest.fixture(scope="module")
+def driver_rows():
+    return duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet'").fetchall()
+
+
+def awkward():
+    """Nulls, empty and long texts, repeats, ties, one text a third of all rows."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeéñ") for _ in range(rng.randint(1, 6)))
+    long = " ".join(word() for _ in range(6000))
+    base = [word() for _ in range(200)]
+    texts = [None, "", " \t\n", "one", "ONE", "a b c d", "a b c d e", long, long[:2000] + " x " + long[2010:], "zz " * 900, "y" * 1500, "same line of text here\nother\n  Same Line of TEXT here \n\nshort", "same line of text here"]
+    for k in range(12):
+        w = list(base)
+        w[5 + 11 * k] = "changed"
+        texts.append(" ".join(w))
+    texts += ["hot copy of a text that is a third of all rows, long enough to matter. " * 8] * 14
+    rows = list(enumerate(texts, 3))
+    return [*rows, (None, "null id with words in it for once"), (None, None), (7, "repeated id, other text"), rows[10], (40, rows[7][1])]
+
+
+@pytest.fixture(scope="module")
+def awkward_rows():
+    return awkward()
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, None if k % 7 == 0 else "en", None if k % 5 == 0 else "s" * (k % 3), k, "clash", k, "clash") for k, (i, t) in enumerate(rows)], SCHEMA)
+
+
+@pytest.fixture(params=["driver", "awkward", "empty"])
+def rows(request, driver_rows, awkward_rows):
+    return {"driver": driver_rows, "awkward": awkward_rows, "empty": []}[request.param]
+
+
+def test_lm_scores(spark, rows):
+    got = lmscore.lm_report(docs_of(spark, rows), block_bytes=40_000)
+    got = [(*r[:5], round(r[5], 6), round(r[6], 6)) for r in rows_of(got, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])]
+    assert got == ordered(brute.lm(rows, lmscore.MASS))
+
+
+def test_lm_long_text_in_segments(spark, monkeypatch):
+    rows = [(1, "a b c a b " * 3000), (2, "a b"), (3, None)]
+    got = lmscore.lm_report(docs_of(spark, rows))
+    assert [round(r[0], 4) for r in rows_of(got, ["score"])] == sorted(round(r[-1], 4) for r in brute.lm(rows, lmscore.MASS))
+
+
+def test_repeats(spark, rows):
+    got = repeats.removal_report(docs_of(spark, rows))
+    assert rows_of(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == ordered(brute.repeats(rows, repeats.LENGTH))
+
+
+def test_repeats_random_overlaps(spark):
+    rng = random.Random(3)
+    pool = ["".join(rng.choice("ab") for _ in range(90)) for _ in range(4)]
+    rows = [(k, "".join(rng.choice(pool)[rng.randint(0, 20) :] for _ in range(rng.randint(1, 9)))) for k in range(60)]
+    got = repeats.removal_report(docs_of(spark, rows), length=60, gram=16)
+    assert rows_of(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == ordered(brute.repeats(rows, 60))
+
+
+def test_line_dedup(spark, rows):
+    got = linededup.line_report(docs_of(spark, rows))
+    assert rows_of(got, ["doc_id", "n_lines", "n_dropped", "kept_sha256"]) == ordered(brute.lines(rows))
+    assert linededup.dedup_lines(docs_of(spark, rows)).columns == docs_of(spark, rows).columns
+
+
+def test_near_duplicates(spark, rows):
+    got = neardup.near_duplicates(docs_of(spark, rows))
+    assert [r[:3] for r in rows_of(got, ["doc_id", "n_shingles", "component_id", "kept"])] == ordered(r[:3] for r in brute.near_duplicates(rows))
+
+
+def test_near_duplicate_chain_and_tiles(spark, monkeypatch):
+    """A chain whose ends aren't similar is one group; keys of many classes go through tiles."""
+    monkeypatch.setattr(neardup, "SMALL", 3)
+    monkeypatch.setattr(neardup, "TILE", 4)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(40):
+        rows.append((100 - k, " ".join(base)))
+        base[rng.randrange(120)] = f"x{k}"
+    assert [r[:3] for r in rows_of(neardup.near_duplicates(docs_of(spark, rows)), ["doc_id", "n_shingles", "component_id"])] == ordered(r[:3] for r in brute.near_duplicates(rows))
+
+
+def test_keep_one(spark, driver_rows):
+    kept = {r[0] for r in brute.near_duplicates(driver_rows) if r[3]}
+    assert {r[0] for r in rows_of(neardup.keep_one(docs_of(spark, driver_rows)), ["doc_id"])} == kept
+
+
+def test_leaks(spark, driver_rows):
+    items = duckdb.sql(f"SELECT item_id, text FROM '{SMALL}/benchmark.parquet'").fetchall()
+    long = items[0][1].split()
+    edited = " ".join([*long[:9], "edit", *long[10:]])
+    more = [(9001, "before it " + edited + " after it"), (9002, " ".join(long[: len(long) // 2])), (9003, items[1][1].upper()), (9003, items[1][1].upper()), (None, "x " + items[2][1]), (9005, None)]
+    rows, items = [*driver_rows, *more], [*items, (500, "three word item"), (501, None), (502, "")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leak_report(docs_of(spark, rows), table)
+    assert {r for r in rows_of(got, ["doc_id", "item_id"])} == brute.leaks(rows, items)
+    clean = decontaminate.remove_leaking(docs_of(spark, rows), table)
+    assert {r[0] for r in rows_of(clean, ["doc_id"])} == {i for i, _ in rows} - {i for i, _ in brute.leaks(rows, items)}
+    none = decontaminate.leak_report(docs_of(spark, rows), table.limit(0))
+    assert none.collect() == [] and none.columns == got.columns
+    assert decontaminate.leak_report(docs_of(spark, []), table).collect() == []
+
+
+def test_simhash_index_finds_all_within_radius(spark):
+    rng = random.Random(2)
+    item = rng.getrandbits(63)
+    prints = []
+    for k in range(200):
+        n = rng.randint(0, decontaminate.RADIUS)
+        x = item
+        for b in rng.sample(range(63), n):
+            x ^= 1 << b
+        prints.append((k, x))
+    from pyspark.sql import functions as F
+
+    left = spark.createDataFrame(prints, "k long, p long").select("k", F.explode(decontaminate._block_values(F.col("p"))).alias("b")).select("k", "b.*")
+    right = spark.createDataFrame([(item,)], "p long").select(F.explode(decontaminate._near_values(F.col("p"))).alias("b")).select("b.*")
+    assert left.join(right, ["block", "value"]).select("k").distinct().count() == 200
+
+
+def test_mix(spark, driver_rows):
+    sized = docs_of(spark, [(i, t) for i, t in driver_rows] + [(None, None), (8, "")])
+    report, slots = mixing.mix(mixing.sized(sized), block=16)
+    got = report.collect()
+    assert sorted(r["size"] for r in got) == sorted(len(brute.WORD.findall(t or "")) for _, t in [*driver_rows, (None, None), (8, "")])
+    by = defaultdict(lambda: [0, 0, 0, 0.0])
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        x = by[r["source"]]
+        x[0] += r["size"]
+        x[1] += r["taken"]
+        x[2], x[3] = r["source_size"], r["target"]
+    assert abs(sum(x[3] for x in by.values()) - sum(x[0] for x in by.values())) < 1
+    for size, taken, told, target in by.values():
+        assert told == size and abs(taken - target) <= 1
+    again = mixing.mix(mixing.sized(sized.repartition(3)), block=16)[0]
+    assert rows_of(report, ["doc_id", "size", "taken"]) == rows_of(again, ["doc_id", "size", "taken"])
+    assert len({(r["_s"], r["slot"]) for r in slots.collect()}) == slots.count()
+    assert mixing.mixing_report(docs_of(spark, [])).collect() == []
+
+
+def test_mix_targets_cap():
+    assert mixing.targets([10, 1, 100], [5, 2, 1]) == [30.0, 3.0, 78.0]
+    assert mixing.targets([], []) == [] and mixing.targets([0, 5], [5, 2]) == [0.0, 5.0]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
+def test_permutation(n):
+    import numpy as np
+
+    keys = mixing._keys(1, 2, 3)
+    there = mixing.permute(np.arange(n), n, keys)
+    assert sorted(there) == list(range(n)) and list(mixing.permute(there, n, keys, inverse=True)) == list(range(n))
+
+
+def test_counts_of_shards():
+    got = mixing.draw_counts([100, 3, 0, 57], 8, 1)
+    assert got.sum(axis=0).tolist() == [100, 3, 0, 57] and (got >= 0).all() and got.sum(axis=1).max() == 20
+
+
+def test_media(spark, rows):
+    got = media.document_media(docs_of(spark, rows)).collect()
+    assert len(got) == len(rows)
+    want = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        padded = media.pad(raw)
+        assert len(padded) % 64 == 0 and padded
+        want.append((i, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), hashlib.sha256(media.encode_png(padded)).hexdigest()))
+    assert ordered((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_sha256"]) for r in got) == ordered(want)
+
+
+def test_interleave_and_resolve(spark):
+    html = '<h1>Title</h1><script>no</script><p>one<p>two <figure><img src="a.png" alt="alt"><figcaption>The <b>caption</b></figcaption></figure>tail <img src="gone.png" alt="left"><img src="">'
+    pages = spark.createDataFrame([(1, html, "x"), (2, None, None), (3, "", "y")], "page_id long, html string, digest_of string")
+    parts = {r["page_id"]: r["sequence"] for r in media.interleave(pages).collect()}
+    assert [(p["kind"], p["text"], p["caption"]) for p in parts[1]] == [("text", "Title one two", None), ("media", None, "The caption"), ("text", "tail", None), ("media", None, "left")]
+    assert parts[2] == parts[3] == []
+    stored = media.store(spark.createDataFrame([(b"a.png",), (b"a.png",), (None,)], "payload binary"))
+    assert stored.count() == 2
+    found = media.resolve(media.interleave(pages), media.read_features(stored)).collect()
+    assert sorted((r["position"], r["caption"], r["found"]) for r in found) == [(1, "The caption", True), (3, "left", False)]
+
+
+def test_png_damage():
+    stored = bytearray(media.encode_png(media.pad(b"abc")))
+    stored[50] ^= 1
+    with pytest.raises(Exception):
+        media.decode_png(bytes(stored))
+
+
+def test_secret_rules(spark):
+    hexed = "0123456789abcdef" * 2
+    texts = [
+        f'a token = "{hexed}" b', f"é password: short token:abcdefgh {hexed}", "secret=token:abcdefgh", "AKIA" + "A" * 16 + " AKIA12", None, "", f"bare Xy{'9Kq' * 12} here",
+        f"bare Xy{'9Kq' * 12} and api_key=Zz{'8Lm' * 8}", f"Zz{'8Lm' * 8} seen alone",
+    ]
+    docs = spark.createDataFrame([(k, t, f"o{k % 4}", None) for k, t in enumerate(texts)], "doc_id long, text string, source string, spans string")
+    got = {r["doc_id"]: r for r in secrets.find_secrets(docs).collect()}
+    assert got[0]["spans"] == "assign:2:43:".strip(":") + ",hex:11:43"
+    assert (got[1]["n_assign"], got[1]["n_hex"]) == (1, 1) and got[1]["spans"].startswith("assign:18:32,hex:33:65")
+    assert got[2]["n_assign"] == 0 and got[3]["n_access"] == 1 and got[4]["spans"] == got[5]["spans"] == ""
+    assert got[6]["spans"] == "bare:5:43" and got[8]["spans"] == "bare:0:26"
+    assert got[7]["spans"].endswith("assign:48:82")
+
+
+def test_secret_ownership(spark):
+    widely = "token=abcdef0123456789"
+    docs = spark.createDataFrame([(k, widely, f"owner{k}") for k in range(9)] + [(100, "token=zyxwvu9876543210", "owner1")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in secrets.find_secrets(docs).collect()}
+    assert got[0]["n_copied"] == 1 and got[0]["n_live"] == 0 and got[100]["n_live"] == 1 and got[0]["most_owners"] == 9
+
+
+def test_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == 1000 and sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_edges(spark, awkward_rows):
+    docs = docs_of(spark, [*awkward_rows, (900, "12345 !!"), (901, None)])
+    got = langid.language_report(docs).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == docs.count() and by[900]["lang_pred"] == by[901]["lang_pred"] == "und"
+    assert langid.language_report(docs_of(spark, [])).collect() == []
+    assert langid.keep_identified(docs).columns == docs.columns
+
+
+def test_chat(spark):
+    talk = [
+        (1, 0, "user", "What is the capital of France?\nAnd of Spain, please?"), (1, 1, "assistant", "Paris is the capital of France."), (1, 2, "user", "> Paris is the capital, of FRANCE\nThanks."),
+        (1, 3, "assistant", "> > What is the capital of France?\n> nothing that was said before\nyes"), (1, 4, "user", "no quote"), (2, 0, "user", None), (2, None, "user", ">only a quote here"), (None, 1, "user", "x"), (2, 1, "user", "> a\nb"), (2, 1, "user", "again"),
+    ]
+    got = {(r["conv_id"], r["turn"], r["body"]): r for r in chat.link_conversations(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == len(talk)
+    r = got[1, 2, "Thanks."]
+    assert (r["reply_to"], r["root"], r["depth"], r["n_linked"]) == (1, 0, 2, 1)
+    r = got[1, 3, "yes"]
+    assert (r["reply_to"], r["n_quotes"], r["n_linked"], r["quoted_levels"]) == (0, 2, 1, 2)
+    assert got[1, 4, "no quote"]["reply_to"] == 3 and got[2, 0, ""]["reply_to"] is None and got[2, None, ""]["depth"] == 0
+    assert chat.link_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    want = con.sql(SQL[name])
+    columns = sorted(want.columns)
+    assert rows_of(QUERIES[name](spark, SMALL), columns) == ordered(want.select(*columns).fetchall())
