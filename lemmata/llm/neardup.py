@@ -12,9 +12,11 @@ certain.  At similarity 0.85 more than RADIUS of the positions differ with proba
 Groups of copies are not expanded into pairs.  First every class is checked against the
 smallest class among those it shares a key with, one pair a class; the confirmed links
 give components.  Then only keys whose classes are still in different components are
-looked at, and only pairs of different components within the radius are checked; keys of
-more than ``SMALL`` classes are compared in tiles of ``TILE`` classes, so no task gets an
-unbounded group.  No pair is given up.
+looked at, and only pairs of different components within the radius are checked.  Keys of
+more than ``SMALL`` classes are cut into tiles of ``TILE`` classes; a task holds two tiles,
+checks their pairs in memory and returns only links that join components, which are fewer
+than its classes, so no task gets an unbounded group and no pairs are written out.  No
+pair is given up.
 
 Nulls and edges: a null, empty or blank text has no shingles and is linked with nothing;
 fewer than five words are one shingle; rows of one doc_id with different texts are
@@ -36,7 +38,9 @@ from .graph import components
 
 SHINGLE = 5
 POSITIONS, CHUNKS, RADIUS = 64, 12, 22
-SMALL, TILE = 48, 1024
+SMALL, TILE = 48, 512
+#: A tile holds about so many shingles, and sets are compared as bit rows up to so many bits in all.
+TILE_SHINGLES, BITS = 2_000_000, 1 << 29
 BROADCAST_ROWS = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(8128))
 _MULTIPLY = (_RNG.integers(1, 2**32, POSITIONS, dtype=np.uint64) | U64(1)).astype(np.uint32)
@@ -172,27 +176,65 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _tile_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components within the radius, of rows (key, c, node, component, sig); c: rows of the key."""
-    tiles = F.ceil(F.col("c") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    dealt = members.withColumns({"_t": own, "_n": tiles}).select("key", "node", "component", "sig", "_t", F.explode(F.expr("sequence(0, _n - 1)")).alias("_o"))
+def _overlaps(values: np.ndarray, offsets: np.ndarray):
+    """A function (i, others) -> sizes of the intersections of set i with the others."""
+    n, kinds = len(offsets) - 1, np.unique(values)
+    if n * len(kinds) <= BITS:
+        bits = np.zeros((n, -(-len(kinds) // 64) * 64), bool)
+        bits[np.repeat(np.arange(n), np.diff(offsets)), np.searchsorted(kinds, values)] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        return lambda i, others: np.bitwise_count(packed[others] & packed[i]).sum(axis=1, dtype=np.int64)
+    return lambda i, others: np.array([len(np.intersect1d(values[offsets[i] : offsets[i + 1]], values[offsets[j] : offsets[j + 1]], assume_unique=True)) for j in others], np.int64)
+
+
+def tile_links(key: int, across: bool, node: np.ndarray, comp: np.ndarray, tile: np.ndarray, sig: np.ndarray, values: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that join different components among the classes of one key, or across two tiles of it; no more than the classes.
+
+    A pair that shares several keys is compared under the first of them only.
+    """
+    size, overlap, keys = np.diff(offsets), _overlaps(values, offsets), chunk_keys(sig)
+    place = int(np.flatnonzero(keys[0] == key)[0])
+    names, group = np.unique(comp, return_inverse=True)
+    parent = np.arange(len(names))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i in range(len(node)):
+        own = find(group[i])
+        other = (node > node[i]) & (parent[group] != own)
+        if across:
+            other &= tile != tile[i]
+        at = np.flatnonzero(other)
+        at = at[(sig[at] != sig[i]).sum(axis=1) <= RADIUS]
+        at = at[~(keys[at, :place] == keys[i, :place]).any(axis=1)]
+        if not len(at):
+            continue
+        both = overlap(i, at)
+        for j in at[100 * both >= percent * (size[at] + size[i] - both)]:
+            x, y = find(group[i]), find(group[j])
+            if x != y:
+                parent[y] = x
+                out.append((int(node[i]), int(node[j])))
+    return out
+
+
+def _tile_links(members: DataFrame, percent: int) -> DataFrame:
+    """``tile_links`` of rows (key, tiles, node, component, sig, text), a task for each pair of tiles of a key."""
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    dealt = members.withColumn("_t", own).select("key", "node", "component", "sig", "text", "_t", F.explode(F.expr("sequence(0, tiles - 1)")).alias("_o"))
     dealt = dealt.withColumns({"_lo": F.least("_t", "_o"), "_hi": F.greatest("_t", "_o")})
 
     def run(key, table):
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, POSITIONS)
+        values, offsets = shingle_sets(table["text"])
         node, comp, tile = (table[c].to_numpy() for c in ("node", "component", "_t"))
-        out_a, out_b = [], []
-        for i in range(len(node)):
-            other = (comp != comp[i]) & (node > node[i])
-            if key[1].as_py() != key[2].as_py():
-                other &= tile != tile[i]
-            at = np.flatnonzero(other)
-            near = at[(sig[at] != sig[i]).sum(axis=1) <= RADIUS]
-            out_a.append(np.full(len(near), node[i]))
-            out_b.append(node[near])
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": join(out_a).astype(np.int64), "b": join(out_b).astype(np.int64)})
+        links = tile_links(key[0].as_py(), key[1].as_py() != key[2].as_py(), node, comp, tile, sig, values, offsets, percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return dealt.groupBy("key", "_lo", "_hi").applyInArrow(run, "a long, b long")
 
@@ -200,7 +242,7 @@ def _tile_pairs(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """A row per row of ``docs``: doc_id, text_key, n_shingles, component_id, kept."""
     rows = materialize(describe(docs, doc_id, text), "signatures")
-    classes = materialize(rows.where("node >= 0").groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("sig").alias("sig")), "classes")
+    classes = materialize(rows.where("node >= 0").groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
     keys = _keys_of(classes)
     shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1")
     members = materialize(keys.join(shared, "key").select("key", "node", "leader", "c"), "members")
@@ -215,18 +257,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = materialize(_confirmed(tried, texts, percent), "first-links")
     merged = components(links)
 
-    placed = members.select("key", "node", "c").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_set"), F.count("*").alias("c")).where("_least != _most")
-    once = open_keys.groupBy("_set", "c").agg(F.min("key").alias("key")).select("key")  # keys of the same classes count once
-    todo = materialize(placed.join(once, "key"), "open-members")
+    placed = members.select("key", "node", "c").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node")).join(classes.select("node", "n"), "node")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"), F.sum("n").alias("_sum"), F.count("*").alias("c")).where("_least != _most")
+    tiles = F.greatest(F.ceil(F.col("c") / TILE), F.ceil(F.col("_sum") / TILE_SHINGLES)).cast("int").alias("tiles")
+    todo = materialize(placed.drop("c", "n").join(open_keys.select("key", "c", tiles), "key"), "open-members")
     small = todo.where(F.col("c") <= SMALL)
     x, y = small.select("key", F.col("node").alias("a"), F.col("component").alias("_ca")), small.select("key", F.col("node").alias("b"), F.col("component").alias("_cb"))
     pairs = x.join(y, "key").where("a < b AND _ca != _cb").select("a", "b").distinct()
-    large = _tile_pairs(todo.where(F.col("c") > SMALL).join(classes.select("node", "sig"), "node")).distinct()
-    near = _within_radius(pairs, classes).unionByName(large).distinct()
     seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _confirmed(near.join(seen, ["a", "b"], "left_anti"), texts, percent)
-    final = components(links.unionByName(more))
+    more = _confirmed(_within_radius(pairs.join(seen, ["a", "b"], "left_anti"), classes), texts, percent)
+    large = _tile_links(todo.where(F.col("c") > SMALL).join(classes.select("node", "sig"), "node").join(texts, "node"), percent)
+    final = components(links.unionByName(more).unionByName(large))
 
     named = rows.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("node >= 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
