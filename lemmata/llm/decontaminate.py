@@ -59,7 +59,7 @@ def item_shingles(items: DataFrame, item_id: str = "item_id", text: str = "text"
     width = F.least(F.size("_words"), F.lit(SHINGLE))
     short = F.array(F.expr("CASE size(_words) WHEN 1 THEN xxhash64(_words[0]) WHEN 2 THEN xxhash64(_words[0], _words[1]) WHEN 3 THEN xxhash64(_words[0], _words[1], _words[2]) WHEN 4 THEN xxhash64(_words[0], _words[1], _words[2], _words[3]) END"))
     listed = hashed.select("item_id", width.alias("width"), F.when(F.size("_words") >= SHINGLE, shingles()).otherwise(short).alias("_all"))
-    return listed.select("item_id", "width", F.posexplode("_all").alias("pos", "h"))
+    return listed.select("item_id", "width", F.posexplode_outer("_all").alias("pos", "h")).where("h IS NOT NULL")
 
 
 def simhash(h: str, weight: str) -> Column:
@@ -100,7 +100,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     hits = None
     for width in sorted(widths):
         listed = hashed_words(docs, text, identity).select("doc_id", "_text", shingles(width).alias("_all"))
-        at = listed.select("doc_id", "_text", F.posexplode("_all").alias("_pos", "h"))
+        # The outer form: for the plain one the optimiser adds a test of the array's size below the projection, which computes it once per element.
+        at = listed.select("doc_id", "_text", F.posexplode_outer("_all").alias("_pos", "h")).where("h IS NOT NULL")
         of_width = sought.where(F.col("width") == width).drop("width")
         found = at.join(F.broadcast(of_width) if small else of_width, "h").select("doc_id", "_text", "item_id", "m", F.lit(width).alias("width"), "_pos", (F.col("_pos") - F.col("pos")).alias("start"))
         hits = found if hits is None else hits.unionByName(found)
@@ -119,7 +120,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         rows = worded.select("doc_id", "_text", shingles(width).alias("_all"), F.explode(F.expr(f"filter(_asked, a -> a.width = {width})")).alias("_a"))
         place = F.greatest(F.lit(0), F.least("_s", F.size("_all") - F.col("_a.m")))
         spread = rows.select("doc_id", "_text", "_all", "_a", F.explode("_a.starts").alias("_s")).select("doc_id", "_text", F.col("_a.item_id").alias("item_id"), F.col("_a.m").alias("m"), place.cast("int").alias("start"), "_all").dropDuplicates(["doc_id", "_text", "item_id", "start"])
-        each = spread.select("doc_id", "_text", "item_id", "m", "start", F.explode(F.expr("slice(_all, start + 1, m)")).alias("h"))
+        each = spread.select("doc_id", "_text", "item_id", "m", "start", F.explode_outer(F.expr("slice(_all, start + 1, m)")).alias("h")).where("h IS NOT NULL")
         windows = each if windows is None else windows.unionByName(each)
     weighed = materialize(windows.groupBy("doc_id", "_text", "item_id", "m", "start", "h").agg(F.count("*").alias("w")), "window-shingles")
     window_prints = weighed.groupBy("doc_id", "_text", "item_id", "start").agg(simhash("h", "w").alias("print"))
