@@ -600,7 +600,7 @@ def document_attributes(spark, sf_dir):
 
 ATTRIBUTES = """att AS (SELECT doc_id, 'lang' AS p, lang AS o FROM documents UNION SELECT doc_id, 'source', source FROM documents UNION SELECT doc_id, 'size', CASE WHEN n_chars < 1000 THEN 'short' ELSE 'long' END FROM documents),
 sup AS (SELECT p, o, count(*) AS n FROM att GROUP BY p, o),
-rules AS (SELECT a.p AS body_p, a.o AS body_o, b.p AS head_p, b.o AS head_o, s.n AS support, count(*) AS positives, count(*) / s.n AS confidence FROM att a JOIN att b ON a.doc_id = b.doc_id AND (a.p <> b.p OR a.o <> b.o) JOIN sup s ON s.p = a.p AND s.o = a.o GROUP BY ALL HAVING s.n >= 2 AND count(*) / s.n >= 0.5)"""
+rules AS (SELECT a.p AS body_p, a.o AS body_o, b.p AS head_p, b.o AS head_o, s.n AS support, count(*) AS positives, count(*)::DOUBLE / s.n AS confidence FROM att a JOIN att b ON a.doc_id = b.doc_id AND (a.p <> b.p OR a.o <> b.o) JOIN sup s ON s.p = a.p AND s.o = a.o GROUP BY a.p, a.o, b.p, b.o, s.n HAVING s.n >= 2 AND count(*)::DOUBLE / s.n >= 0.5)"""
 
 
 @query("induce_rules", f"WITH {ATTRIBUTES} SELECT body_p, body_o, head_p, head_o, support, positives, round(confidence, 6) AS confidence FROM rules")
