@@ -12,9 +12,12 @@ windows.
   one row for about 170 bytes of text.
 * Pass 2, digit: the whole stretch that the run of windows covers.  Rows that agree in it
   are equal in all their windows.
-* Pass 3, for runs whose anchor is shared but whose stretch differs from another one's
-  (the ends of repeated passages): each of their windows by its full LENGTH bytes, one
-  stretch standing for all that are equal to it.
+* Pass 3, digit: for runs whose anchor is shared but whose stretch differs from another
+  one's (the ends of repeated passages), the half of the window next to the anchor, on
+  its right for windows that start near it and on its left for the others.  One stretch
+  stands for all that are equal to it.
+* Pass 4, digit: the whole window.  Groups of up to ``MOST`` rows are compared in memory,
+  many to a task; windows of larger groups become rows and are counted.
 
 Digits are compared by 64-bit hashes together with the digit before (128 bits for a
 window).  Grouping is by partial aggregation, so groups of any size need no single task.
@@ -38,6 +41,8 @@ from .bytesops import U64, batches_of, between, mix, prefix, text_buffer
 from .common import materialize, text_of
 
 LENGTH, GRAM = 400, 64
+#: Rows of a group that one task compares at most, rows of a task's bucket, and keys that may be broadcast.
+MOST, BUCKET_ROWS, BROADCAST_ROWS = 16_384, 8_192, 2_000_000
 _PIECE = 1 << 22
 _ROWS = "gram long, stretch long, text_key long, size long, lo long, at int, n int, times long"
 
@@ -99,31 +104,112 @@ def runs_of(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
     return slim.mapInArrow(run, _ROWS)
 
 
-def _windows_of(docs: DataFrame, asked: DataFrame, text: str, length: int) -> DataFrame:
-    """(gram, window, instance, text_key, size, p, often) of each window of the stretches asked for, which come as arrays per text."""
-    own = docs.select(F.xxhash64(text_of(text)).alias("text_key"), F.octet_length(text_of(text)).cast("long").alias("size"), F.col(text).alias("text"))
-    joined = own.join(asked.hint("shuffle_hash"), ["text_key", "size"]).select("text_key", "size", "text", "asked")
-    schema = "gram long, win long, inst long, text_key long, size long, p long, often boolean"
+_HALVES = "gram long, side int, digit long, text_key long, size long, anchor long, base int, first int, last int, part binary"
+
+
+def _halves_of(docs: DataFrame, asked: DataFrame, text: str, length: int, gram: int) -> DataFrame:
+    """The rows of pass 3: for each stretch asked for, its windows with less than half their room before the anchor (side 0) and the others (side 1).
+
+    All windows of a side share a digit: the bytes behind the anchor's gram, or those before it. ``part`` holds the bytes of the
+    windows, ``base`` the place of the anchor in it, ``first`` and ``last`` the distances from a window's start to the anchor.
+    """
+    room = length - gram
+    half = room // 2
+    keys = asked.select("text_key", "size")
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    own = docs.select(F.xxhash64(text_of(text)).alias("text_key"), F.octet_length(text_of(text)).cast("long").alias("size"), F.col(text).alias("text")).join(side, ["text_key", "size"])
+    joined = own.groupBy("text_key", "size").agg(F.first("text").alias("text")).join(asked, ["text_key", "size"]).select("text_key", "size", "text", "asked")
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
         import xxhash
 
         for b in batches_of(batches, 1 << 20):
             data, offsets = text_buffer(b.column("text"))
-            for i, (key, size, asked_) in enumerate(zip(b.column("text_key").to_pylist(), b.column("size").to_pylist(), b.column("asked").to_pylist(), strict=True)):
-                own_ = memoryview(data[offsets[i] : offsets[i + 1]])
-                columns = [[] for _ in range(5)]
-                for a in asked_:
-                    p = np.arange(a["lo"], a["lo"] + a["n"])
-                    h = np.fromiter((xxhash.xxh3_64_intdigest(own_[x : x + length]) for x in p.tolist()), U64, len(p))
-                    tag = mix(np.array([a["stretch"] & (2**64 - 1)], U64) + U64(a["at"]))[0]
-                    inst = mix(tag + (p - a["lo"]).astype(U64))
-                    for c, v in zip(columns, (np.full(len(p), a["gram"]), h.view(np.int64), inst.view(np.int64), p, np.full(len(p), a["often"])), strict=True):
-                        c.append(v)
-                g, w, inst, p, often = (np.concatenate(c) for c in columns)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(w), pa.array(inst), pa.array(np.full(len(p), key)), pa.array(np.full(len(p), size)), pa.array(p), pa.array(often)], names=[x.split()[0] for x in schema.split(", ")])
-
-    return joined.mapInArrow(run, schema)
+            out: list[tuple] = []
+            for i, (key, size, stretches) in enumerate(zip(b.column("text_key").to_pylist(), b.column("size").to_pylist(), b.column("asked").to_pylist(), strict=True)):
+                raw = data[offsets[i] : offsets[i + 1]].tobytes()
+                for x in stretches:
+                    anchor, most = x["lo"] + x["at"], x["at"]
+                    least = most - x["n"] + 1
+                    for which, first, last in ((0, least, min(most, half - 1)), (1, max(least, half), most)):
+                        if first > last:
+                            continue
+                        shared = raw[anchor + gram : anchor + gram + room - half + 1] if which == 0 else raw[anchor - half : anchor]
+                        digit = int(np.array(xxhash.xxh3_64_intdigest(shared), U64).astype(np.int64))
+                        out.append((x["gram"], which, digit, key, size, anchor, last, first, last, raw[anchor - last : anchor - first + length]))
+            columns = zip(*out, strict=True) if out else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _HALVES.split(", ")])
+
+    return joined.mapInArrow(run, _HALVES)
+
+
+def repeated_offsets(group: np.ndarray, parts: pa.Array, base: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, distance to the anchor) of every window that another row of its group holds at the same distance."""
+    sizes = np.array([len(x) for x in parts.to_pylist()], np.int64)
+    at = np.cumsum(sizes) - sizes
+    sums = prefix(np.frombuffer(b"".join(parts.to_pylist()), np.uint8))
+    rows, places = [], []
+    for o in range(int(first.min(initial=0)), int(last.max(initial=-1)) + 1):
+        own = np.flatnonzero((first <= o) & (o <= last))
+        if len(own) < 2:
+            continue
+        start = at[own] + base[own] - o
+        key = mix(between(sums, start, start + length) + group[own])
+        _, which, n = np.unique(key, return_inverse=True, return_counts=True)
+        hit = own[n[which] > 1]
+        rows.append(hit)
+        places.append(np.full(len(hit), o))
+    return (np.concatenate(rows), np.concatenate(places)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+_SPANS = "text_key long, size long, a long, b long"
+
+
+def _spans_batch(table, row: np.ndarray, place: np.ndarray, length: int) -> pa.Table:
+    """Runs of neighbouring repeated windows as spans of bytes."""
+    order = np.lexsort((place, row))
+    row, place = row[order], place[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(row)) - 1 if len(begin) else begin
+    who = row[begin] if len(begin) else np.zeros(0, np.int64)
+    anchor = table["anchor"].to_numpy()[who]
+    return pa.table({"text_key": table["text_key"].to_numpy()[who], "size": table["size"].to_numpy()[who], "a": anchor - place[end], "b": anchor - place[begin] + length})
+
+
+def _compare_groups(halves: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Spans repeated within the groups (gram, side, digit), many groups to a task."""
+
+    def run(key, table):
+        table = table.combine_chunks()
+        group = mix(table["gram"].to_numpy().view(U64) + mix(table["digit"].to_numpy().view(U64) + table["side"].to_numpy().astype(U64)))
+        row, place = repeated_offsets(group, table["part"].combine_chunks(), *(table[c].to_numpy().astype(np.int64) for c in ("base", "first", "last")), length)
+        return _spans_batch(table, row, place, length)
+
+    return halves.withColumn("bucket", F.pmod(F.xxhash64("gram", "side", "digit"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, _SPANS)
+
+
+def _compare_windows(halves: DataFrame, length: int) -> DataFrame:
+    """The same for groups too large for a task: every window is a row, windows are counted by partial aggregation."""
+    kind = "gram long, win long, text_key long, size long, p long"
+
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                for o in range(r["first"], r["last"] + 1):
+                    begin = r["base"] - o
+                    rows.append((r["gram"], int(np.array(xxhash.xxh3_64_intdigest(r["part"][begin : begin + length]), U64).astype(np.int64)), r["text_key"], r["size"], r["anchor"] - o))
+            columns = zip(*rows, strict=True) if rows else [[] for _ in range(5)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=[x.split()[0] for x in kind.split(", ")])
+
+    windows = materialize(halves.mapInArrow(run, kind), "suffix-windows")
+    repeated = windows.groupBy("gram", "win").agg(F.count("*").alias("c")).where("c > 1").select("gram", "win")
+    return windows.join(repeated, ["gram", "win"]).select("text_key", "size", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -131,17 +217,22 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     rows = materialize(runs_of(docs, text, length, gram), "suffix-runs")
     place = F.struct("text_key", "size", "lo", "at", "n")
     classes = materialize(rows.groupBy("gram", "stretch").agg(F.sum("times").alias("times"), F.min(place).alias("r")), "suffix-stretches")
-    grams = classes.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("times").alias("all_times")).where("all_times > 1")
+    mixed = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
     # A stretch that occurs more than once is repeated in all its windows.
     often = classes.where("times > 1").select("gram", "stretch")
     whole = rows.join(often, ["gram", "stretch"]).select("text_key", "size", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + (length - 1)).alias("b"))
-    mixed = classes.join(grams.where("kinds > 1").select("gram"), "gram").select("gram", "stretch", (F.col("times") > 1).alias("often"), "r.*")
-    asked = mixed.groupBy("text_key", "size").agg(F.collect_list(F.struct("gram", "stretch", "lo", "at", "n", "often")).alias("asked"))
-    windows = materialize(_windows_of(docs, asked, text, length), "suffix-windows")
-    repeated = windows.groupBy("gram", "win").agg(F.min("inst").alias("i"), F.max("inst").alias("j"), F.max("often").alias("o")).where("i != j OR o").select("gram", "win")
-    single = windows.where("NOT often").join(repeated, ["gram", "win"]).select("text_key", "size", "p").distinct()
-    ends = single.select("text_key", "size", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
-    return whole.unionByName(ends).groupBy("text_key", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    chosen = classes.join(mixed, "gram").select("gram", "r.*")
+    asked = materialize(chosen.groupBy("text_key", "size").agg(F.collect_list(F.struct("gram", "lo", "at", "n")).alias("asked")), "suffix-asked")
+    halves = materialize(_halves_of(docs, asked, text, length, gram), "suffix-halves")
+    sizes = halves.groupBy("gram", "side", "digit").agg(F.count("*").alias("c"))
+    large = materialize(sizes.where(F.col("c") > MOST).select("gram", "side", "digit"), "suffix-large")  # at most rows / MOST groups
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), halves.count() // BUCKET_ROWS + 1)
+    shared = sizes.where(F.col("c") > 1).select("gram", "side", "digit")
+    few = _compare_groups(halves.join(F.broadcast(large), ["gram", "side", "digit"], "left_anti").join(shared, ["gram", "side", "digit"], "left_semi"), length, buckets)
+    spans = whole.unionByName(few)
+    if not large.isEmpty():
+        spans = spans.unionByName(_compare_windows(halves.join(F.broadcast(large), ["gram", "side", "digit"], "left_semi"), length))
+    return spans.groupBy("text_key", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -78,7 +78,10 @@ def test_repeats(spark, rows):
     assert rows_of(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == ordered(brute.repeats(rows, repeats.LENGTH))
 
 
-def test_repeats_random_overlaps(spark):
+@pytest.mark.parametrize("most", [16_384, 2])
+def test_repeats_random_overlaps(spark, monkeypatch, most):
+    """Also with groups that are too large for a task."""
+    monkeypatch.setattr(repeats, "MOST", most)
     rng = random.Random(3)
     pool = ["".join(rng.choice("ab") for _ in range(90)) for _ in range(4)]
     rows = [(k, "".join(rng.choice(pool)[rng.randint(0, 20) :] for _ in range(rng.randint(1, 9)))) for k in range(60)]
