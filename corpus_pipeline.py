@@ -8,6 +8,7 @@ the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lemmata.llm import decontaminate, langid, linededup, mixing, neardup
 from lemmata.llm.common import materialize, table
@@ -19,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document holds."""
-    return linededup.dedup_lines(docs)
+    """Documents without the lines that an earlier document holds; n_chars follows the text."""
+    return linededup.dedup_lines(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
