@@ -79,14 +79,16 @@ def link_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def _follow(parents: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent, root, depth) of rows (conv_id, turn, parent), by pointer doubling."""
-    now = materialize(parents.select("conv_id", "turn", "parent", F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "reply-roots")
-    while True:
+    """(conv_id, turn, parent, root, depth) of rows (conv_id, turn, parent), by pointer doubling.
+
+    Rows that have reached their root take no part in later rounds.
+    """
+    now = materialize(parents.select("conv_id", "turn", "parent", F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("parent").isNotNull().alias("_moved")), "reply-roots")
+    while not now.where("_moved").isEmpty():
         up = now.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        now = materialize(now.join(up, ["conv_id", "root"], "left").select("conv_id", "turn", "parent", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.coalesce("_depth", F.lit(0)) > 0).alias("_moved")), "reply-roots")
-        if now.where("_moved").isEmpty():
-            return now.drop("_moved")
-        now = now.drop("_moved")
+        step = now.where("_moved").join(up, ["conv_id", "root"], "left").select("conv_id", "turn", "parent", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.coalesce("_depth", F.lit(0)) > 0).alias("_moved"))
+        now = materialize(now.where("NOT _moved").unionByName(step), "reply-roots")
+    return now.drop("_moved")
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:
