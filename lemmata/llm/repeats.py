@@ -246,26 +246,32 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+
+    Each distinct text is cut once; its copies join the result without their texts.
+    """
     spans = repeated_spans(docs, text, length, gram)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_key"), F.octet_length(text_of(text)).cast("long").alias("size"), F.col(text).alias("text"))
-    joined = own.join(spans.hint("shuffle_hash"), ["text_key", "size"], "left").select("doc_id", "text", "spans")
-    kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
+    whole = text_of(text)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("text_key"), F.octet_length(whole).cast("long").alias("size"), whole.alias("text"))
+    texts = own.where(F.col("size") >= length).groupBy("text_key", "size").agg(F.first("text").alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in batches_of(batches, 2 << 20):
             data, offsets = text_buffer(b.column("text"))
             out = []
             for i, found in enumerate(b.column("spans").to_pylist()):
-                raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                merged = merge_spans([(x["a"], x["b"]) for x in found or ()])
+                view = memoryview(data[offsets[i] : offsets[i + 1]])
+                merged = merge_spans([(x["a"], x["b"]) for x in found])
                 at, kept = 0, hashlib.sha256()
                 for x, y in merged:
-                    kept.update(raw[at:x])
+                    kept.update(view[at:x])
                     at = y
-                kept.update(raw[at:])
-                out.append((len(raw), sum(y - x for x, y in merged), len(merged), kept.hexdigest()))
-            n, gone, count, sha = zip(*out, strict=True) if out else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                kept.update(view[at:])
+                out.append((sum(y - x for x, y in merged), len(merged), kept.hexdigest()))
+            gone, count, sha = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([b.column("text_key"), b.column("size"), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], names=["text_key", "size", "gone", "count", "sha"])
+
+    cut = texts.join(spans.hint("shuffle_hash"), ["text_key", "size"]).select("text_key", "size", "text", "spans").mapInArrow(run, "text_key long, size long, gone long, count long, sha string")
+    rows = own.select("doc_id", "text_key", "size", F.sha2("text", 256).alias("_whole")).join(cut, ["text_key", "size"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias
+    return rows.select("doc_id", F.col("size").alias("n_bytes"), zero("gone")("n_removed"), zero("count")("n_spans"), F.coalesce("sha", "_whole").alias("kept_sha256"))
