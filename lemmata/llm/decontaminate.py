@@ -1,10 +1,10 @@
 """Benchmark decontamination, with DataFrame operations only.
 
 Documents and benchmark items are lower-cased words and their five-word shingles, as
-64-bit hashes.  An item-sized window of a document can be 0.8 similar to an item only if
-four fifths of the item's shingles occur in the document, so documents that share fewer
-are left out without loss.  Windows are the item-sized stretches aligned with a shared
-shingle.  Each window and each item has a SimHash fingerprint of 64 bits over its
+64-bit hashes.  A window of w shingles can be 0.8 similar to an item of m only if at least
+0.8 * (w + m) / 1.8 of its positions hold a shingle of the item.  All item-sized windows
+that reach this count are taken, from a sliding count over the shared positions, so
+windows are left out without loss, in whatever order the item's parts stand.  Each window and each item has a SimHash fingerprint of 64 bits over its
 weighted shingles (weight: how often a shingle occurs).  Fingerprints are cut into
 ``BLOCKS`` blocks; within ``RADIUS`` bits some block differs in at most RADIUS div BLOCKS
 bits (pigeonhole), so items are listed under every value of every block within that many
@@ -88,27 +88,41 @@ def _near_values(fingerprint: Column) -> Column:
     return F.concat(*out)
 
 
+def window_starts(threshold: float) -> Column:
+    """Every start whose window of m (or all _n) shingles has enough of the sorted shared positions _p, each once.
+
+    A start belongs to the first shared position i at or after it; its window has to reach position i + k - 1.
+    """
+    need = f"cast(ceil({threshold}D * (m + least(m, _n)) / (1 + {threshold}D) - 1e-9D) AS int)"
+    low = "greatest(coalesce(get(_p, i - 1) + 1, 0), _p[i + k - 1] - cast(m AS int) + 1)"
+    high = "least(_p[i], greatest(0, _n - cast(m AS int)))"
+    none = "cast(array() AS array<int>)"
+    of_first = f"CASE WHEN {low} <= {high} THEN sequence({low}, {high}) ELSE {none} END"
+    return F.expr(f"flatten(transform(array({need}), k -> CASE WHEN size(_p) >= k THEN flatten(transform(sequence(0, size(_p) - k), i -> {of_first})) ELSE {none} END))")
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, _text, item_id, start, hamming, similarity) of every window that holds an item."""
     wanted = materialize(item_shingles(items), "benchmark-shingles")
     n_wanted, widths = wanted.count(), [r["width"] for r in wanted.select("width").distinct().collect()]
     small = n_wanted <= BROADCAST_ROWS
     sized = wanted.groupBy("item_id", "width").agg(F.count("*").alias("m"))
-    sought = wanted.join(sized, ["item_id", "width"])
+    sought = wanted.select("item_id", "width", "h").distinct().join(sized, ["item_id", "width"])
     identity = [F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("_text")]
 
     hits = None
     for width in sorted(widths):
         listed = hashed_words(docs, text, identity).select("doc_id", "_text", shingles(width).alias("_all"))
         # The outer form: for the plain one the optimiser adds a test of the array's size below the projection, which computes it once per element.
-        at = listed.select("doc_id", "_text", F.posexplode_outer("_all").alias("_pos", "h")).where("h IS NOT NULL")
+        at = listed.select("doc_id", "_text", F.size("_all").alias("_n"), F.posexplode_outer("_all").alias("_pos", "h")).where("h IS NOT NULL")
         of_width = sought.where(F.col("width") == width).drop("width")
-        found = at.join(F.broadcast(of_width) if small else of_width, "h").select("doc_id", "_text", "item_id", "m", F.lit(width).alias("width"), "_pos", (F.col("_pos") - F.col("pos")).alias("start"))
+        found = at.join(F.broadcast(of_width) if small else of_width, "h").select("doc_id", "_text", "item_id", "m", F.lit(width).alias("width"), "_n", "_pos")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return docs.select(*identity).limit(0).crossJoin(items.select("item_id").limit(0)).selectExpr("doc_id", "_text", "item_id", "0 as start", "0 as hamming", "0.0D as similarity")
-    starts = hits.groupBy("doc_id", "_text", "item_id", "m", "width").agg(F.count("*").alias("n"), F.collect_set("start").alias("starts"))
-    starts = materialize(starts.where(F.col("n") >= F.ceil(F.col("m") * threshold)).drop("n"), "window-starts")
+    shared_at = hits.groupBy("doc_id", "_text", "item_id", "m", "width", "_n").agg(F.array_sort(F.collect_set("_pos")).alias("_p"))
+    starts = shared_at.select("doc_id", "_text", "item_id", "m", "width", window_starts(threshold).alias("starts"))
+    starts = materialize(starts.where(F.size("starts") > 0), "window-starts")
 
     asked = starts.groupBy("doc_id", "_text").agg(F.collect_list(F.struct("item_id", "m", "width", "starts")).alias("_asked"))
     side = F.broadcast(asked) if starts.count() <= BROADCAST_ROWS else asked.hint("shuffle_hash")
@@ -118,8 +132,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     windows = None
     for width in sorted(widths):
         rows = worded.select("doc_id", "_text", shingles(width).alias("_all"), F.explode(F.expr(f"filter(_asked, a -> a.width = {width})")).alias("_a"))
-        place = F.greatest(F.lit(0), F.least("_s", F.size("_all") - F.col("_a.m")))
-        spread = rows.select("doc_id", "_text", "_all", "_a", F.explode("_a.starts").alias("_s")).select("doc_id", "_text", F.col("_a.item_id").alias("item_id"), F.col("_a.m").alias("m"), place.cast("int").alias("start"), "_all").dropDuplicates(["doc_id", "_text", "item_id", "start"])
+        spread = rows.select("doc_id", "_text", "_all", "_a", F.explode("_a.starts").alias("start")).select("doc_id", "_text", F.col("_a.item_id").alias("item_id"), F.col("_a.m").alias("m"), "start", "_all")
         each = spread.select("doc_id", "_text", "item_id", "m", "start", F.explode_outer(F.expr("slice(_all, start + 1, m)")).alias("h")).where("h IS NOT NULL")
         windows = each if windows is None else windows.unionByName(each)
     weighed = materialize(windows.groupBy("doc_id", "_text", "item_id", "m", "start", "h").agg(F.count("*").alias("w")), "window-shingles")

@@ -134,6 +134,17 @@ def test_leaks(spark, driver_rows):
     assert decontaminate.leak_report(docs_of(spark, []), table).collect() == []
 
 
+def test_leaks_of_reordered_parts(spark):
+    item, noise = [f"w{k}" for k in range(100)], [f"n{k}" for k in range(1000)]
+    parts = lambda *at: " ".join(w for i, j in at for w in item[i:j])
+    around = lambda text: " ".join([*noise[:500], text, *noise[500:]])
+    rows = [(1, around(parts((50, 100), (0, 50)))), (2, parts((50, 100), (0, 50))), (3, around(parts((0, 100)))), (4, around(parts((0, 60)))), (5, around(parts((0, 50)) + " " + " ".join(noise[:300]) + " " + parts((50, 100))))]
+    items = [(1, " ".join(item)), (2, "zz " * 40)]
+    rows.append((6, "zz " * 90))
+    got = decontaminate.leak_report(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert set(rows_of(got, ["doc_id", "item_id"])) == brute.leaks(rows, items) == {(1, 1), (2, 1), (3, 1), (6, 2)}
+
+
 def test_simhash_index_finds_all_within_radius(spark):
     rng = random.Random(2)
     item = rng.getrandbits(63)
