@@ -4,8 +4,9 @@ Spans come from ``split`` and ``regexp_extract_all`` over the same pattern: the
 between matches and the matches themselves give every start by running lengths, in code
 points.  Every candidate value is hashed; over the whole corpus the hashes are counted by
 distinct owners and repositories (partial aggregation before each shuffle, so a value in
-a third of all rows is no hot key).  A value of at most ``MAX_OWNERS`` owners is
-owner-specific and live-looking; one that more owners hold is a widely copied example.
+a third of all rows is no hot key).  A value of at most ``MAX_OWNERS`` owners and at most
+``MAX_REPOS`` repositories is owner-specific and live-looking; one that more owners or
+more repositories hold is a widely copied example.
 
 The method adds spans of kind ``bare``: runs of 20 or more ``[A-Za-z0-9+/_-]`` that hold a
 letter and a digit and overlap no base span, where their value is known elsewhere as the
@@ -30,6 +31,7 @@ HEX = r"[0-9a-f]{24,}"
 BARE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "bare")
 MAX_OWNERS = 2
+MAX_REPOS = 10
 BARE_ALONE = 32
 
 SPAN = "struct<start:int,kind:int,stop:int,value:string>"
@@ -79,7 +81,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id") -> DataFrame:
-    """A row per document: counts, base and added spans, and how many of its values are live-looking or widely copied.
+    """A row per document: counts, base and added spans, and how many of its values are live-looking or widely copied; most_owners and n_repos are the largest of its values.
 
     ``repo`` tells repositories apart and ``owner`` their owners; documents are their own repositories by default.
     """
@@ -89,18 +91,19 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ow
     spans = some.select("_row", F.coalesce("owner", F.lit("\0")).alias("owner"), F.coalesce("repo", F.lit("\0")).alias("repo"), F.explode(F.concat("base", "bare")).alias("s"))
     keyed = spans.select("_row", "owner", "repo", F.col("s.kind").alias("kind"), "s", F.sha2("s.value", 256).alias("h"))
     judged = keyed.join(ownership(keyed), "h")
-    live = F.col("n_owners") <= MAX_OWNERS
+    live = (F.col("n_owners") <= MAX_OWNERS) & (F.col("n_repos") <= MAX_REPOS)
     added = (F.col("kind") == 3) & live & (F.col("in_base") | (F.char_length("s.value") >= BARE_ALONE))
     per_row = judged.groupBy("_row").agg(
         F.collect_list(F.when(added, F.col("s"))).alias("more"),
         F.count_if((F.col("kind") < 3) & live).alias("n_live"),
         F.count_if((F.col("kind") < 3) & ~live).alias("n_copied"),
         F.max("n_owners").alias("most_owners"),
+        F.max("n_repos").alias("n_repos"),
     )
     out = found.join(per_row, "_row", "left")
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     more = F.coalesce("more", F.expr(f"cast(array() as array<{SPAN}>)"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(
-        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", more)).alias("spans"), zero("n_live"), zero("n_copied"), zero("most_owners")
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", more)).alias("spans"), zero("n_live"), zero("n_copied"), zero("most_owners"), zero("n_repos")
     )

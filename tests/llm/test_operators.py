@@ -255,6 +255,16 @@ def test_secret_ownership(spark):
     assert got[0]["n_copied"] == 1 and got[0]["n_live"] == 0 and got[100]["n_live"] == 1 and got[0]["most_owners"] == 9
 
 
+def test_secret_copied_within_one_owner(spark):
+    bare = "Xy" + "9Kq" * 12
+    texts = [f"token=abcdef0123456789 and {bare}"] * (secrets.MAX_REPOS + 1) + ["token=zyxwvu9876543210"] * secrets.MAX_REPOS
+    docs = spark.createDataFrame([(k, t, "owner") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in secrets.find_secrets(docs).collect()}
+    first, last = got[0], got[len(texts) - 1]
+    assert (first["n_live"], first["n_copied"], first["most_owners"], first["n_repos"]) == (0, 1, 1, secrets.MAX_REPOS + 1) and "bare" not in first["spans"]
+    assert (last["n_live"], last["n_copied"], last["n_repos"]) == (1, 0, secrets.MAX_REPOS)
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
