@@ -11,8 +11,10 @@ counts of block slots from what is left of the quotas (the last shards take the
 quotas are met exactly), which needs one number per source and output shard.  A slot of
 a source is a number 0, 1, 2, ...; slot i takes block perm(i mod blocks), where perm is a
 Feistel permutation keyed by seed, source and pass i div blocks.  Slots and blocks meet
-in a join on (source, block).  The last slot of a source is trimmed so that its words
-equal the quota.
+in a join on (source, block), which gives the mixed corpus: a row per slot with the
+block's words.  Blocks are packed from slices of the documents' words.  The last slot of
+a source is trimmed so that its words equal the quota.  What is taken of a document is
+counted over the rows of the mixed corpus.
 
 Targets: sources by code point, null last, weigh ``WEIGHTS`` in turn and share all words;
 a target stops at ``CAP`` times its source's words and the excess is shared again by
@@ -31,10 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, materialize, text_of
+from .common import WORD_CLASS, materialize, text_of, word_array
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -128,15 +130,41 @@ def draw_counts(slots: Sequence[int], shards: int, seed: int) -> np.ndarray:
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.expr(f"regexp_count(coalesce({text}, ''), r'{WORD_CLASS}')").cast("long").alias("size"), F.xxhash64(F.col(doc_id), text_of(text)).alias("_h"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.expr(f"regexp_count(coalesce({text}, ''), r'{WORD_CLASS}')").cast("long").alias("size"), F.xxhash64(F.col(doc_id), text_of(text)).alias("_h"), F.xxhash64(text_of(text), F.col(doc_id)).alias("_h2"), F.col(text).alias("text"))
 
 
-def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK, shards: int = OUTPUT_SHARDS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(report, slots) of ``sized`` rows.
+def packed(placed: DataFrame, slots: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """(_s, _block, parts): the words of each block that some slot takes as slices of documents, in order.
 
-    report: the rows with source_size, target and taken.  slots: shard, source number, slot, block and the words taken of it.
+    Rows find their text by two hashes of doc_id and text; equal rows share one.
     """
-    spark = rows.sparkSession
+    held = placed.where("size > 0").select("_s", "_shard", "_row", "doc_id", "_h", "_h2", "_from", "_to", F.explode(F.expr(f"sequence(_from div {block}L, (_to - 1) div {block}L)")).alias("_block"))
+    wanted = held.join(slots.select("_s", "_block").distinct(), ["_s", "_block"]).groupBy("_s", "_shard", "_row", "doc_id", "_h", "_h2", "_from", "_to").agg(F.collect_list("_block").alias("_blocks"))
+    one = texts.groupBy("_h", "_h2").agg(F.first("text").alias("text"))
+    worded = wanted.join(one, ["_h", "_h2"])
+    cut = lambda w: F.transform("_blocks", lambda b: _slice(w, b, block))
+    # The array of one element binds the words, so that they are split once a document and not once a block.
+    slices = worded.select("_s", "_shard", "_row", "doc_id", F.explode(F.flatten(F.transform(F.array(word_array(text_of("text"))), cut))).alias("_x"))
+    parts = slices.select("_s", F.col("_x.block").alias("_block"), F.struct("_x.lo", "_x.n", "_shard", "_row", "doc_id", "_x.text").alias("part"))
+    return parts.groupBy("_s", "_block").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+
+
+def _slice(words: Column, b: Column, block: int) -> Column:
+    lo = F.greatest(F.col("_from"), b * block)
+    n = F.least(F.col("_to"), (b + 1) * block) - lo
+    text = F.array_join(F.slice(words, (lo - F.col("_from") + 1).cast("int"), n.cast("int")), " ")
+    return F.struct(b.alias("block"), lo.alias("lo"), n.alias("n"), text.alias("text"))
+
+
+def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK, shards: int = OUTPUT_SHARDS, seed: int = 7, into: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(report, mixed) of ``sized`` rows.
+
+    report: the rows with source_size, target and taken.  mixed, the mixed corpus: shard, source number and source, slot,
+    block, n_words, the text and its pieces (_shard, _row, doc_id, n: so many words of that row).  It is written to the
+    folder ``into``, or else as a working table.
+    """
+    spark, texts = rows.sparkSession, rows.select("_h", "_h2", "text")
+    rows = materialize(rows.drop("text"), "mixing-sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     order = sorted(sums, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     sizes = [r["size"] or 0 for r in order]
@@ -154,7 +182,7 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK,
     shard_sums = dealt.groupBy("_s", "_shard").agg(F.sum("size").alias("_sum"))
     shard_base = shard_sums.withColumn("_base", F.sum("_sum").over(Window.partitionBy("_s").orderBy("_shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")).drop("_sum")
     placed = placed.join(shard_base, ["_s", "_shard"]).withColumn("_to", F.col("_base") + F.col("_end")).withColumn("_from", F.col("_to") - F.col("size"))
-    pieces = placed.select("doc_id", "source", "size", "source_size", "target", "_s", "_shard", "_row", "_from", "_to", F.explode(F.expr(f"sequence(_from div {block}L, greatest(_from, _to - 1) div {block}L)")).alias("_block"))
+    placed = materialize(placed.select("doc_id", "source", "size", "source_size", "target", "_s", "_shard", "_row", "_h", "_h2", "_from", "_to"), "mixing-places")
 
     dealt_slots = [(k, p.index, int(begin[k, p.index]), int(counts[k, p.index]), p.blocks, p.slots, p.trim) for k in range(shards) for p in plans if counts[k, p.index]]
     drawn = spark.createDataFrame(dealt_slots, "shard int, _s int, first long, n long, blocks long, slots long, trim long")
@@ -170,16 +198,24 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK,
             yield pd.DataFrame({"shard": f["shard"], "_s": f["_s"], "slot": f["slot"], "_block": at, "trimmed": f["trimmed"]})
 
     slots = numbered.selectExpr("shard", "_s", "slot", "blocks", length).mapInPandas(blocks_of, "shard int, _s int, slot long, _block long, trimmed long")
-    per_block = slots.groupBy("_s", "_block").agg(F.count("*").alias("_times"), F.sum("trimmed").alias("_trimmed"))
-    joined = pieces.join(per_block, ["_s", "_block"], "left")
+    slots = materialize(slots, "mixing-slots")
+    joined = slots.join(packed(placed, slots, texts, block), ["_s", "_block"]).join(F.broadcast(info), "_s")
     # A trimmed slot gives up the last words of its block.
-    lo, hi = F.greatest("_from", F.col("_block") * block), F.least("_to", (F.col("_block") + 1) * block)
-    source_end = F.least((F.col("_block") + 1) * block, F.col("source_size"))
-    lost = F.greatest(F.lit(0), hi - F.greatest(lo, source_end - F.coalesce("_trimmed", F.lit(0))))
-    words = F.coalesce("_times", F.lit(0)) * F.greatest(F.lit(0), hi - lo) - F.when(F.col("_trimmed") > 0, lost).otherwise(0)
-    report = joined.withColumn("_words", words).groupBy("_s", "_shard", "_row", "doc_id", "source", "size", "source_size", "target").agg(F.sum("_words").cast("long").alias("taken"))
-    return report.select("doc_id", "source", "size", "source_size", "target", "taken"), slots
+    stop = F.least((F.col("_block") + 1) * block, F.col("source_size")) - F.col("trimmed")
+    given = F.transform("parts", lambda x: F.struct(x["_shard"].alias("_shard"), x["_row"].alias("_row"), x["doc_id"].alias("doc_id"), F.least(x["n"], F.greatest(F.lit(0), stop - x["lo"])).alias("n")))
+    whole = F.array_join(F.transform("parts", lambda x: x["text"]), " ")
+    n_words = stop - F.col("_block") * block
+    text = F.when(F.col("trimmed") > 0, F.array_join(F.slice(F.split(whole, " "), 1, n_words.cast("int")), " ")).otherwise(whole)
+    mixed = joined.select("shard", "_s", "source", "slot", F.col("_block").alias("block"), n_words.alias("n_words"), text.alias("text"), F.filter(given, lambda x: x["n"] > 0).alias("pieces"))
+    if into:
+        mixed.write.parquet(into)
+        mixed = spark.read.schema(mixed.schema).parquet(into)
+    else:
+        mixed = materialize(mixed, "mixed-blocks")
+    used = mixed.select("_s", F.explode("pieces").alias("_p")).groupBy("_s", "_p._shard", "_p._row").agg(F.sum("_p.n").alias("taken"))
+    report = placed.join(used, ["_s", "_shard", "_row"], "left")
+    return report.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), mixed
 
 
 def mixing_report(docs: DataFrame, **options) -> DataFrame:
-    return mix(materialize(sized(docs), "mixing-sizes"), **options)[0]
+    return mix(sized(docs), **options)[0]

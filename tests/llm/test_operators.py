@@ -183,6 +183,32 @@ def test_mix(spark, driver_rows):
     assert mixing.mixing_report(docs_of(spark, [])).collect() == []
 
 
+def test_mixed_corpus(spark, driver_rows, tmp_path):
+    """The mixed corpus holds slices of the documents' words, as many as the quotas, dealt to shards by the draws."""
+    texts = [*driver_rows, driver_rows[3], driver_rows[3], (None, "a null id"), (8, "")]
+    docs = docs_of(spark, texts)
+    report, mixed = mixing.mix(mixing.sized(docs), block=16, into=str(tmp_path / "mixed"))
+    rows, own, taken, by = mixed.collect(), defaultdict(list), defaultdict(int), defaultdict(int)
+    for i, t in texts:
+        own[i].append(brute.WORD.findall(t or ""))
+    for r in rows:
+        w, at = r["text"].split(" "), 0
+        assert len(w) == r["n_words"] == sum(p["n"] for p in r["pieces"]) and 0 < len(w) <= 16
+        for p in r["pieces"]:
+            part = w[at : at + p["n"]]
+            assert any(x[k : k + len(part)] == part for x in own[p["doc_id"]] for k in range(len(x)))
+            at += p["n"]
+            taken[r["source"], p["doc_id"]] += p["n"]
+        by[r["source"]] += len(w)
+    told = defaultdict(int)
+    for r in report.collect():
+        told[r["source"], r["doc_id"]] += r["taken"]
+        assert abs(by[r["source"]] - r["target"]) <= 1
+    assert {k: v for k, v in told.items() if v} == dict(taken)
+    assert len({r["shard"] for r in rows}) == mixing.OUTPUT_SHARDS
+    assert spark.read.parquet(str(tmp_path / "mixed")).count() == len(rows)
+
+
 def test_mix_targets_cap():
     assert mixing.targets([10, 1, 100], [5, 2, 1]) == [30.0, 3.0, 78.0]
     assert mixing.targets([], []) == [] and mixing.targets([0, 5], [5, 2]) == [0.0, 5.0]

@@ -28,3 +28,10 @@ def test_stages(spark):
     assert {r["doc_id"] for r in out.collect()} == {r[0] for r in brute.near_duplicates(before) if r[3]}
     before, out = seen["source_mix"]
     assert {r["doc_id"] for r in out.collect()} == {i for i, _ in before}
+
+
+def test_last_stage_writes_the_mixed_corpus(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    report = corpus_pipeline.materialize(corpus_pipeline.mix_sources(spark, docs, SMALL), "mix-report").collect()
+    blocks = spark.read.parquet(report[0]["mixed_in"]).collect()
+    assert sum(r["taken"] for r in report) == sum(b["n_words"] for b in blocks) == sum(len(b["text"].split(" ")) for b in blocks) > 0
