@@ -239,8 +239,8 @@ def _tile_links(members: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("key", "_lo", "_hi").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """A row per row of ``docs``: doc_id, text_key, n_shingles, component_id, kept."""
+def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """The rows of ``describe`` without sig, with the component of those that have shingles."""
     rows = materialize(describe(docs, doc_id, text), "signatures")
     classes = materialize(rows.where("node >= 0").groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
     keys = _keys_of(classes)
@@ -269,17 +269,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     large = _tile_links(todo.where(F.col("c") > SMALL).join(classes.select("node", "sig"), "node").join(texts, "node"), percent)
     final = components(links.unionByName(more).unionByName(large))
 
-    named = rows.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return rows.drop("sig").join(final, "node", "left").withColumn("component", F.when(F.col("node") >= 0, F.coalesce("component", "node")))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """A row per row of ``docs``: doc_id, text_key, n_shingles, component_id, kept."""
+    named = _grouped(docs, doc_id, text, percent)
     least = named.where("node >= 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "component", "left").withColumn("component_id", F.when(F.col("node") < 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id."""
-    judged = near_duplicates(docs, percent=percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n_shingles")
-    # Of rows that are equal in doc_id and text one stays, unless they hold no words and so are linked with nothing.
-    keys = judged.groupBy("_id", "_key").agg(F.max("n_shingles").alias("_n"))
+    """``docs`` with one row of each group of near-duplicates, and all rows without shingles, which are linked with nothing.
+
+    Of a group the row of the smallest doc_id (null last), then of the smallest text_key stays; of rows equal in both
+    the smallest by all columns.
+    """
+    named = _grouped(docs, "doc_id", "text", percent)
+    copies = materialize(named.groupBy("node", "component", "doc_id", "text_key").agg(F.count("*").alias("n")), "copies")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "n")
+    chosen = copies.where("node >= 0").groupBy("component").agg(F.min(rank).alias("_k")).select("_k.doc_id", "_k.text_key", (F.col("_k.n") > 1).alias("_many"))
+    empty = copies.where("node < 0").select("doc_id", "text_key", F.lit(False).alias("_many"))
+    keys = chosen.unionByName(empty).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_many")
     own = docs.withColumn("_own", F.xxhash64(text_of("text")))
-    kept = own.join(keys.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
-    return kept.drop("_id", "_key", "_own", "_n")
+    held = own.join(keys.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
+    single = held.where("NOT _many").select(*docs.columns)
+    least = held.where("_many").groupBy("_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return single.unionByName(least)

@@ -118,6 +118,17 @@ def test_keep_one(spark, driver_rows):
     assert {r[0] for r in rows_of(neardup.keep_one(docs_of(spark, driver_rows)), ["doc_id"])} == kept
 
 
+def test_keep_one_row_of_each_group(spark):
+    text = [f"w{k}" for k in range(80)]
+    near = " ".join([*text[:40], "x", *text[41:]])
+    text, other, third = " ".join(text), "some other text of more than five words", "a third text that is like none before it"
+    rows = [(5, text), (5, text), (5, text), (5, near), (6, near), (7, other), (5, third), (5, third), (8, None), (8, None), (9, ""), (9, ""), (None, other), (None, "words of no id at all, seen twice"), (None, "words of no id at all, seen twice")]
+    got = [tuple(r) for r in neardup.keep_one(docs_of(spark, rows)).select("doc_id", "text").collect()]
+    group = [r for r in got if r in ((5, text), (5, near))]
+    rest = [(7, other), (5, third), (8, None), (8, None), (9, ""), (9, ""), (None, "words of no id at all, seen twice")]
+    assert len(group) == 1 and ordered([*group, *rest]) == ordered(got)
+
+
 def test_leaks(spark, driver_rows):
     items = duckdb.sql(f"SELECT item_id, text FROM '{SMALL}/benchmark.parquet'").fetchall()
     long = items[0][1].split()
