@@ -27,8 +27,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest doc_id."""
-    return neardup.keep_one(docs)
+    """One document of each group of near-duplicates (similarity 0.8 or more): the one of the smallest doc_id."""
+    return neardup.keep_one(docs, percent=80)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

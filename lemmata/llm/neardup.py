@@ -3,11 +3,11 @@
 A document's set is its distinct five-word shingles as 64-bit hashes.  Documents with the
 same set form one class, represented once.  A class has ``POSITIONS`` MinHash values of 16
 bits; two sets of similarity s disagree in a position with probability 1 - s.  Signatures
-are cut into ``CHUNKS`` chunks.  If two signatures differ in at most ``RADIUS`` positions,
-some chunk differs in at most RADIUS div CHUNKS = 1 position (pigeonhole), so each chunk
-is listed once per position with that position left out: two such chunks share a key for
-certain.  At similarity 0.85 more than RADIUS of the positions differ with probability
-2e-5.  Links are confirmed on full sets.
+are cut into chunks.  The radius follows from the least similarity asked for: at it, more
+positions differ with probability ``MISSED`` at most (22 of 64 at 0.85, 27 at 0.8).  There
+are so many chunks, ``CHUNKS`` at least, that of two signatures within the radius some
+chunk differs in at most 1 position (pigeonhole).  Each chunk is listed once per position
+with that position left out: two such chunks share a key for certain.  Links are confirmed on full sets.
 
 Groups of copies are not expanded into pairs.  First every class is checked against the
 smallest class among those it shares a key with, one pair a class; the confirmed links
@@ -27,6 +27,8 @@ apart by 64 bits of the hash of their set.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +39,7 @@ from .common import materialize, text_of
 from .graph import components
 
 SHINGLE = 5
-POSITIONS, CHUNKS, RADIUS = 64, 12, 22
+POSITIONS, CHUNKS, MISSED = 64, 12, 3e-5
 SMALL, TILE = 48, 512
 #: A tile holds about so many shingles, and sets are compared as bit rows up to so many bits in all.
 TILE_SHINGLES, BITS = 2_000_000, 1 << 29
@@ -47,8 +49,20 @@ _MULTIPLY = (_RNG.integers(1, 2**32, POSITIONS, dtype=np.uint64) | U64(1)).astyp
 _ADD = _RNG.integers(0, 2**32, POSITIONS, dtype=np.uint64).astype(np.uint32)
 
 
-def chunk_of_position() -> np.ndarray:
-    return np.sort(np.arange(POSITIONS) % CHUNKS)
+def radius_of(percent: int) -> int:
+    """The least number of positions that more than differ with probability MISSED at most, at a similarity of ``percent``."""
+    apart = 1 - percent / 100
+    chance = [comb(POSITIONS, k) * apart**k * (1 - apart) ** (POSITIONS - k) for k in range(POSITIONS + 1)]
+    return next(r for r in range(POSITIONS + 1) if sum(chance[r + 1 :]) <= MISSED)
+
+
+def chunks_of(percent: int) -> int:
+    """So many chunks that one of them has at most one differing position within the radius."""
+    return max(CHUNKS, radius_of(percent) // 2 + 1)
+
+
+def chunk_of_position(chunks: int) -> np.ndarray:
+    return np.sort(np.arange(POSITIONS) % chunks)
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +116,11 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
+def chunk_keys(sig: np.ndarray, chunks: int) -> np.ndarray:
     """A key for each position: its chunk without that position."""
-    chunk, n = chunk_of_position(), len(sig)
+    chunk, n = chunk_of_position(chunks), len(sig)
     keys = np.empty((n, POSITIONS), U64)
-    for c in range(CHUNKS):
+    for c in range(chunks):
         own = np.flatnonzero(chunk == c)
         for left_out in own:
             x = np.full(n, int(left_out) + 1, U64)
@@ -132,24 +146,24 @@ def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return slim.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, sig binary")
 
 
-def _keys_of(classes: DataFrame) -> DataFrame:
+def _keys_of(classes: DataFrame, chunks: int) -> DataFrame:
     def run(batches):
         for b in batches:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig).ravel()), pa.array(np.repeat(b.column("node").to_numpy(), POSITIONS))], names=["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk_keys(sig, chunks).ravel()), pa.array(np.repeat(b.column("node").to_numpy(), POSITIONS))], names=["key", "node"])
 
     return classes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def _within_radius(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most RADIUS positions."""
+def _within_radius(pairs: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
+    """The pairs (a, b) whose signatures differ in at most ``radius`` positions."""
     left = classes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
     right = classes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
 
     def run(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, POSITIONS) for c in ("sig_a", "sig_b"))
-            near = (x != y).sum(axis=1) <= RADIUS
+            near = (x != y).sum(axis=1) <= radius
             yield b.select(["a", "b"]).filter(pa.array(near))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
@@ -192,7 +206,7 @@ def tile_links(key: int, across: bool, node: np.ndarray, comp: np.ndarray, tile:
 
     A pair that shares several keys is compared under the first of them only.
     """
-    size, overlap, keys = np.diff(offsets), _overlaps(values, offsets), chunk_keys(sig)
+    size, overlap, keys, radius = np.diff(offsets), _overlaps(values, offsets), chunk_keys(sig, chunks_of(percent)), radius_of(percent)
     place = int(np.flatnonzero(keys[0] == key)[0])
     names, group = np.unique(comp, return_inverse=True)
     parent = np.arange(len(names))
@@ -210,7 +224,7 @@ def tile_links(key: int, across: bool, node: np.ndarray, comp: np.ndarray, tile:
         if across:
             other &= tile != tile[i]
         at = np.flatnonzero(other)
-        at = at[(sig[at] != sig[i]).sum(axis=1) <= RADIUS]
+        at = at[(sig[at] != sig[i]).sum(axis=1) <= radius]
         at = at[~(keys[at, :place] == keys[i, :place]).any(axis=1)]
         if not len(at):
             continue
@@ -243,7 +257,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     """The rows of ``describe`` without sig, with the component of those that have shingles."""
     rows = materialize(describe(docs, doc_id, text), "signatures")
     classes = materialize(rows.where("node >= 0").groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
-    keys = _keys_of(classes)
+    keys = _keys_of(classes, chunks_of(percent))
     shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1")
     members = materialize(keys.join(shared, "key").select("key", "node", "leader", "c"), "members")
 
@@ -253,7 +267,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     texts = materialize(found.groupBy("node").agg(F.first("text").alias("text")), "member-texts")
 
     first = members.where("node != leader").groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b"))
-    tried = materialize(_within_radius(first, classes), "first-pairs")
+    tried = materialize(_within_radius(first, classes, radius_of(percent)), "first-pairs")
     links = materialize(_confirmed(tried, texts, percent), "first-links")
     merged = components(links)
 
@@ -265,7 +279,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     x, y = small.select("key", F.col("node").alias("a"), F.col("component").alias("_ca")), small.select("key", F.col("node").alias("b"), F.col("component").alias("_cb"))
     pairs = x.join(y, "key").where("a < b AND _ca != _cb").select("a", "b").distinct()
     seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _confirmed(_within_radius(pairs.join(seen, ["a", "b"], "left_anti"), classes), texts, percent)
+    more = _confirmed(_within_radius(pairs.join(seen, ["a", "b"], "left_anti"), classes, radius_of(percent)), texts, percent)
     large = _tile_links(todo.where(F.col("c") > SMALL).join(classes.select("node", "sig"), "node").join(texts, "node"), percent)
     final = components(links.unionByName(more).unionByName(large))
 

@@ -1,7 +1,7 @@
 """The pipeline's stages against their contracts, each on its own input."""
 
 import corpus_pipeline
-from lemmata.llm import langid
+from lemmata.llm import langid, neardup
 
 from . import brute
 
@@ -35,3 +35,19 @@ def test_last_stage_writes_the_mixed_corpus(spark):
     report = corpus_pipeline.materialize(corpus_pipeline.mix_sources(spark, docs, SMALL), "mix-report").collect()
     blocks = spark.read.parquet(report[0]["mixed_in"]).collect()
     assert sum(r["taken"] for r in report) == sum(b["n_words"] for b in blocks) == sum(len(b["text"].split(" ")) for b in blocks) > 0
+
+
+def test_near_dedup_takes_four_fifths(spark):
+    """Of a text and a copy with scattered edits, 0.80 to 0.85 similar, one stays."""
+    words = [f"w{k}" for k in range(400)]
+    edited = ["edit" if k % 50 == 25 else w for k, w in enumerate(words)]
+    rows = [(1, " ".join(words), "en", "s", 0), (2, " ".join(edited), "en", "s", 0)]
+    a, b = (brute.shingles(r[1]) for r in rows)
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, SMALL).collect()] == [1]
+
+
+def test_radius_follows_the_similarity():
+    assert (neardup.radius_of(85), neardup.chunks_of(85)) == (22, 12)
+    assert neardup.radius_of(80) == 27 and neardup.radius_of(80) // neardup.chunks_of(80) == 1
