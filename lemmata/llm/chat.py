@@ -12,7 +12,7 @@ takes a logarithmic number of joins and is never gathered in one task.
 
 Nulls and edges: a null text is empty and quotes nothing; messages with a null
 conversation or turn are kept, unlinked, as their own roots; rows of equal conversation and turn are kept
-and share one reply target; quotes of fewer than ``LEAST`` normalised characters are not
+and share one reply target; quotes without a letter or digit are not
 linked; an unmatched quote is dropped from the text all the same and counted.
 """
 
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 
-LEAST = 8
 MARK = r"^(\s{0,3}>)+ ?"
 
 
@@ -50,12 +49,12 @@ def link_conversations(conversations: DataFrame) -> DataFrame:
     runs = parts.groupBy("conv_id", "turn", "row", "run", "level").agg(joined.alias("passage"))
     quotes = runs.where("level > 0").select("conv_id", "turn", "row", "run", "level", normalised(F.col("passage")).alias("whole"))
     quote_lines = parts.where("level > 0").select("conv_id", "turn", "row", "run", "level", normalised(F.col("line")).alias("whole"))
-    asked = quotes.withColumn("part", F.lit(0)).unionByName(quote_lines.withColumn("part", F.lit(1))).where(F.char_length("whole") >= LEAST).select("conv_id", "turn", "row", "run", "level", "part", F.xxhash64("whole").alias("h"))
+    asked = quotes.withColumn("part", F.lit(0)).unionByName(quote_lines.withColumn("part", F.lit(1))).where("whole != ''").select("conv_id", "turn", "row", "run", "level", "part", F.xxhash64("whole").alias("h"))
 
     plain = messages.where(~text_of("text").rlike(r"(^|\n)\s{0,3}>")).select("conv_id", "turn", "row", F.lit(1).alias("run"), text_of("text").alias("passage"))
     own = runs.where("level = 0").select("conv_id", "turn", "row", "run", "passage").unionByName(plain.withColumn("run", F.col("run").cast("long")))
     pieces = own.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(F.array("passage"), F.split("passage", "\n", -1)))).alias("_p"))
-    held = pieces.select("conv_id", "turn", normalised(F.col("_p")).alias("_n")).where(F.char_length("_n") >= LEAST).select("conv_id", F.col("turn").alias("origin"), F.xxhash64("_n").alias("h"))
+    held = pieces.select("conv_id", "turn", normalised(F.col("_p")).alias("_n")).where("_n != ''").select("conv_id", F.col("turn").alias("origin"), F.xxhash64("_n").alias("h"))
     wanted = held.join(asked.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi").distinct()
     matched = asked.join(wanted, ["conv_id", "h"]).where(F.col("origin") < F.col("turn")).groupBy("row", "run", "level", "part", "h").agg(F.max("origin").alias("origin"))
     whole_hit = matched.groupBy("row", "run", "level").agg(F.min("part").alias("best"))

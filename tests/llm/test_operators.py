@@ -334,6 +334,13 @@ def test_chat(spark):
     assert chat.link_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def test_chat_short_quotes(spark):
+    talk = [(1, 0, "user", "Yes, do"), (1, 1, "assistant", "Done."), (1, 2, "user", "> Yes, do\nthanks"), (1, 3, "assistant", "好的\n!!"), (1, 4, "user", "no quote"), (1, 5, "user", ">好的"), (1, 6, "user", "> !!\n>\nx")]
+    got = {r["turn"]: r for r in chat.link_conversations(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[2]["reply_to"], got[2]["n_linked"]) == (0, 1) and (got[5]["reply_to"], got[5]["n_linked"]) == (3, 1)
+    assert (got[6]["reply_to"], got[6]["n_linked"]) == (5, 0)
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
