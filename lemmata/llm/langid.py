@@ -7,7 +7,9 @@ dictionary gives the smallest sum wins, and the prediction is rejected where the
 runner-up is nearly as small.
 
 Parameters that bound the sample: ``per_lang`` texts of each language, those whose id has
-the smallest hash, and ``dict_bytes`` bytes of them.  The driver holds one dictionary per
+the smallest hash, and ``dict_bytes`` bytes of them, an equal share of each text really
+sampled.  A text longer than its share gives up to ``pieces`` pieces, one at a hashed place
+in each equal part of it, of ``least_piece`` letters or more.  The driver holds one dictionary per
 language label; nothing else is collected.
 
 Nulls and edges: a null text or one without a letter is ``und`` with score 0 and
@@ -51,16 +53,20 @@ def _compressor(dictionary: bytes, strong: bool = False):
     return zstandard.ZstdCompressor(compression_params=shape, dict_data=prepared)
 
 
-def fit_dictionaries(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, dict_bytes: int = 32_000) -> dict[str, bytes]:
+def fit_dictionaries(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, dict_bytes: int = 32_000, pieces: int = 8, least_piece: int = 40) -> dict[str, bytes]:
     """A dictionary for each label, from at most ``per_lang`` texts and ``dict_bytes`` bytes.
 
-    Each text gives an equal share, so that one very long document doesn't fill a dictionary alone.
+    Each text gives an equal share, from all over it, so that one very long document or a common beginning doesn't fill a dictionary alone.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id)).alias("h"), F.col(text).alias("text"))
     order = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).select("lang", "h").distinct()
-    share = max(1, dict_bytes // per_lang)
-    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.substring(letters_only("text"), 1, share).alias("text"))
+    chosen = rows.select("lang", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang)
+    chosen = chosen.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("share", F.expr(f"cast(greatest(1, {dict_bytes} div sum(n) OVER (PARTITION BY lang)) AS int)")).drop("n")
+    cut = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "share", letters_only("text").alias("text"))
+    cut = cut.withColumns({"_n": F.char_length("text"), "_k": F.expr(f"cast(least({pieces}, greatest(1, share div {least_piece})) AS int)")})
+    place = "(i * (_n div _k) + pmod(xxhash64(h, i), _n div _k - share div _k + 1) + 1)"
+    spread = F.expr(f"array_join(transform(sequence(0, _k - 1), i -> substring(text, cast({place} AS int), cast(share div _k AS int))), ' ')")
+    sample = cut.select("lang", "h", F.when(F.col("_n") <= F.col("share"), F.col("text")).otherwise(spread).alias("text"))
     texts = defaultdict(list)
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         texts[r["lang"]].append(r["text"].encode())

@@ -310,6 +310,16 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_dictionaries_of_few_texts(spark):
+    """A language of few long texts fills its dictionary, and not with the beginnings of its texts."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    banner = "license " * 500
+    rows = [(k, banner + " ".join(word() for _ in range(3000)), "xx") for k in range(10)]
+    got = langid.fit_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["xx"]
+    assert 25_000 < len(got) <= 32_000 and got.count(b"license") * 8 < 0.4 * len(got)
+
+
 def test_language_edges(spark, awkward_rows):
     docs = docs_of(spark, [*awkward_rows, (900, "12345 !!"), (901, None)])
     got = langid.language_report(docs).collect()
