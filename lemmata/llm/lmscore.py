@@ -1,34 +1,30 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is an interpolated bigram model over whole-corpus counts, with Dirichlet
-smoothing: p(w) = (c(w) + 1) / (N + V + 1) and
-p(w | h) = (c(hw) + k p(w)) / (c(h) + k), where k is ``MASS``.  It is run as an
-automaton: one state per known word and one for the start of a text; an arc for each
-known bigram that leads to the state of its last word; a failure arc from each state to
-the root with weight log10(k / (c(h) + k)); and arcs of the root for single words.  A text
-is read once from left to right: the state is carried, failure arcs are taken where an
-arc is missing, log-probabilities add up.
-
-Distribution.  Documents are read in blocks of ``BLOCK_BYTES``.  A block sends its sorted
-distinct n-gram hashes with their training counts to one of P buckets by hash range
-(map-side aggregation; a word that is a third of all tokens is one entry per block).  A
-bucket adds up the counts of all blocks and answers each block with the totals of the
-n-grams it asked for, in its order, and with the bucket's share of N and V.  A block then
-holds the part of the automaton that its own documents can reach, which its size bounds,
-and walks it.  No task sees the whole model, nothing goes to the driver, and every count
-covers the whole corpus.  Blocks are numbered by partition and place, so a task that is
-run again produces the same blocks.
+The model is an interpolated n-gram model of order ``order`` (3 by default) over
+whole-corpus counts, with Dirichlet smoothing: p(w) = (c(w) + 1) / (N + V + 1) and
+p(w | h) = (c(hw) + k p(w | h')) / (c(h) + k), where h' is h without its first word and k
+the mass of the order.  It is run as an automaton.  States are the known histories of up
+to order - 1 words (the start of a text counts as a word) and the root, the empty history;
+an arc leads from a history over each known n-gram to the longest known history that ends
+it; a failure arc leads to the state of h' with weight log10(k / (c(h) + k)); the root has
+an arc for every word.  A text is read once from left to right: the state is carried,
+failure arcs are taken while an arc is missing, log-probabilities add up.
+
+Distribution: ``exchange`` adds up the n-gram counts of all blocks over the whole corpus.
+A block then holds the part of the automaton that its own documents can reach, which its
+size bounds, and walks it.  Words are compared by 64-bit hashes, longer n-grams by as many
+bits as the size of the corpus asks for (one in four million meets another by chance).
 
 Nulls and edges: a null text is the empty text (one token, the end); a null id is
 never held out and learns; repeated rows each count; an empty table gives an empty
 result; with no training rows every probability is that of an unknown token; a text of
-any length is read whole (in lockstep segments, whose first state is the last word of the segment before).
+any length is read whole (in lockstep segments that begin in the state that the words
+before them lead to).  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,68 +32,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U64, mix, text_buffer, words
-from .common import is_held_out
+from .common import is_held_out, text_of
+from .exchange import exchange, frame, key_bits, pack, plan, unframe, unpack
 
-BLOCK_BYTES = 16 << 20
-MASS = 60.0
-SEGMENT = 4096
+#: Smoothing mass of histories of one word, two words and so on; the last one holds for longer ones.
+MASS = (60.0, 15.0)
+ORDER = 3
+SEGMENT = 2048
 END, START = 0x5851F42D4C957F2D, 0x14057B7EF767814F
-MESSAGE = "dest long, src long, kind int, bucket int, payload binary, n long, v long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, train_types long, base_score double, score double"
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Compress an integer array, byte planes apart."""
-    import zstandard
-
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() if len(a) else b""
-    return struct.pack("<cBQ", a.dtype.char.encode(), a.itemsize, len(a)) + zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    import zstandard
-
-    kind, size, n = struct.unpack("<cBQ", raw[:10])
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[10:]), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(np.dtype(kind.decode())).reshape(n)
-
-
-def frame(parts: list[bytes]) -> bytes:
-    return struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts)
-
-
-def unframe(raw: bytes) -> list[bytes]:
-    (n,) = struct.unpack("<I", raw[:4])
-    at, out = 4 + 8 * n, []
-    for size in struct.unpack(f"<{n}Q", raw[4 : 4 + 8 * n]):
-        out.append(raw[at : at + size])
-        at += size
-    return out
-
-
 class Block:
-    """The documents of a block as local word numbers, and the block's n-grams by hash.
+    """The documents of a block as local n-gram numbers.
 
-    ``ids`` holds the words of all texts, each text followed by the end token.
+    ``ids[k]`` numbers, for each token, the n-gram of k words that ends there (0 words: none; the start of a text counts as a
+    word).  Where the text is too short, the number is that of no n-gram, ``size[k]``.
     """
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, types: np.ndarray):
-        self.ids, self.lengths, self.types = ids, lengths, types
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, types: np.ndarray, order: int):
+        self.lengths, self.types, self.order = lengths, types, order
         self.first = np.cumsum(lengths) - lengths
-        self.start = len(types)  # number of the start state, behind all words
-        before = np.empty(len(ids), np.int64)
+        self.start = len(types)  # number of the start of a text, behind all words
+        place = np.arange(len(ids)) - np.repeat(self.first, lengths)
+        hashes = mix(np.append(types, U64(START))) | U64(1)
+        self.ids, self.size = {1: ids}, {1: self.start + 1}
+        self.hash = {1: hashes}
+        before = np.empty_like(ids)
         before[1:] = ids[:-1]
         before[self.first] = self.start
-        self.before = before
-        self.pairs = np.unique(before * (self.start + 1) + ids)
-        hashes = np.append(types, U64(START))
-        one = mix(hashes) | U64(1)
-        two = mix(hashes[self.pairs // (self.start + 1)] * U64(31) + mix(hashes[self.pairs % (self.start + 1)])) & ~U64(1)
-        self.keys = np.concatenate([one, two])
-        self.order = np.argsort(self.keys, kind="stable")
+        for k in range(2, order + 1):
+            full = place >= k - 2
+            code = before[full].astype(np.int64) * (self.start + 1) + ids[full]
+            kinds, number = np.unique(code, return_inverse=True)
+            own = np.full(len(ids), len(kinds), np.int32)
+            own[full] = number
+            self.ids[k], self.size[k] = own, len(kinds)
+            of, to = kinds // (self.start + 1), kinds % (self.start + 1)
+            self.hash[k] = mix(self.hash[k - 1][of] * U64(31) + mix(hashes[to] + U64(k)))
+            if k == 2:
+                self.of_two = of
+            before = np.empty_like(own)
+            before[1:] = own[:-1]
+            before[self.first] = 0
 
     @classmethod
-    def read(cls, texts: pa.Array) -> Block:
+    def read(cls, texts: pa.Array, order: int) -> Block:
         data, offsets = text_buffer(texts)
         _, _, h, n = words(data, offsets)
         lengths = n + 1
@@ -108,156 +88,127 @@ class Block:
         stream[inside] = h
         stream[ends] = U64(END)
         types, ids = np.unique(stream, return_inverse=True)
-        return cls(ids.astype(np.int64), lengths, types)
+        return cls(ids.astype(np.int32), lengths, types, order)
 
-    def train_counts(self, train: np.ndarray) -> np.ndarray:
-        """Counts of ``keys`` over the texts marked in ``train``."""
+    def keys(self, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Sorted distinct keys of words and of longer n-grams, and for each n-gram the place of its key."""
+        longer = np.concatenate([np.zeros(0, U64), *(self.hash[k] for k in range(2, self.order + 1))]) >> U64(64 - bits)
+        pairs = [np.unique(x, return_inverse=True) for x in (self.hash[1], longer)]
+        return [x for x, _ in pairs], [y for _, y in pairs]
+
+    def train_counts(self, train: np.ndarray) -> list[np.ndarray]:
+        """Counts of words (and of the start) and of longer n-grams over the texts marked in ``train``."""
         of_token = np.repeat(train, self.lengths)
-        one = np.append(np.bincount(self.ids[of_token], minlength=self.start), train.sum())
-        code, n = np.unique((self.before * (self.start + 1) + self.ids)[of_token], return_counts=True)
-        two = np.zeros(len(self.pairs), np.int64)
-        two[np.searchsorted(self.pairs, code)] = n
-        return np.concatenate([one, two])
+        one = np.bincount(self.ids[1][of_token], minlength=self.size[1])
+        one[self.start] = train.sum()
+        more = [np.bincount(self.ids[k][of_token], minlength=self.size[k] + 1)[: self.size[k]] for k in range(2, self.order + 1)]
+        return [one, np.concatenate([np.zeros(0, np.int64), *more])]
 
 
 class Automaton:
-    """States are word numbers, the start state behind them, the root last."""
-
-    def __init__(self, block: Block, counts: np.ndarray, n: int, v: int, mass: float):
-        width, types = block.start + 1, block.start
-        self.block, self.width, self.root = block, width, width
-        self.count = counts[:types]
-        context = np.append(counts[: types + 1], 0).astype(np.float64)
-        single = (self.count + 1) / (n + v + 1)
-        self.single = np.log10(single)
-        with np.errstate(divide="ignore"):
-            self.failure = np.where(context > 0, np.log10(mass / (context + mass)), 0.0)
-        seen = counts[types + 1 :] > 0
-        self.arcs = block.pairs[seen]
-        of, to = self.arcs // width, self.arcs % width
-        self.weight = np.log10((counts[types + 1 :][seen] + mass * single[to]) / (context[of] + mass))
-        self.next = np.where(self.count > 0, np.arange(types), self.root)
+    """The states and arcs that a block can reach; a state is told by its level, the number of its words."""
+
+    def __init__(self, block: Block, one: np.ndarray, longer: np.ndarray, n: int, v: int, mass: Sequence[float]):
+        self.block = block
+        cut = np.cumsum([block.size[k] for k in range(2, block.order + 1)])[:-1] if block.order > 1 else []
+        # The last entry of each table stands for no n-gram.
+        self.count = {1: np.append(one, 0), **{k: np.append(c, 0) for k, c in zip(range(2, block.order + 1), np.split(longer, cut), strict=False)}}
+        known = one[: block.start]
+        self.single = np.log10((known + 1) / (n + v + 1))
+        self.weight, self.failure = {}, {}
+        lower = np.append((known + 1) / (n + v + 1), [1.0])
+        for k in range(2, block.order + 1):
+            m = mass[min(k - 2, len(mass) - 1)]
+            # Of each n-gram: the number of its history and of its tail, taken from a place where it stands.
+            at = np.zeros(block.size[k] + 1, np.int64)
+            at[block.ids[k]] = np.arange(len(block.ids[k]))
+            at = at[:-1]
+            history = block.of_two if k == 2 else block.ids[k - 1][at - 1]
+            context = self.count[k - 1].astype(np.float64)
+            p = (self.count[k][:-1] + m * lower[block.ids[k - 1][at]]) / (context[history] + m)
+            p = np.where(context[history] > 0, p, lower[block.ids[k - 1][at]])
+            self.weight[k] = np.append(np.log10(p), 0.0)
+            self.failure[k - 1] = np.where(context > 0, np.log10(m / (context + m)), 0.0)
+            lower = np.append(p, 1.0)
+
+    def level_of(self, at: np.ndarray) -> np.ndarray:
+        """Levels of the states that the words up to the tokens ``at`` lead to."""
+        out = np.zeros(len(at), np.int64)
+        for k in range(1, self.block.order):
+            out[self.count[k][self.block.ids[k][at]] > 0] = k
+        return out
 
     def scores(self) -> np.ndarray:
         """log10 probability of each text."""
-        b = self.block
+        b, order = self.block, self.block.order
         parts = -(-b.lengths // SEGMENT)
         text = np.repeat(np.arange(len(b.lengths)), parts)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
         begin = b.first[text] + nth * SEGMENT
         size = np.minimum(SEGMENT, b.first[text] + b.lengths[text] - begin)
-        state = np.where(nth > 0, self.next[b.ids[np.maximum(begin - 1, 0)]], b.start)
-        if not self.count_of_start():
-            state[nth == 0] = self.root
-        order = np.argsort(-size, kind="stable")
-        begin, size, state, text = begin[order], size[order], state[order], text[order]
+        fresh = min(1, order - 1) if self.count[1][b.start] > 0 else 0
+        level = np.where(nth > 0, self.level_of(np.maximum(begin - 1, 0)), fresh)
+        order_ = np.argsort(-size, kind="stable")
+        begin, size, level, text = begin[order_], size[order_], level[order_], text[order_]
+        head = (nth == 0)[order_]
         total, left = np.zeros(len(text)), np.searchsorted(-size, -np.arange(1, SEGMENT + 1), "right")
-        arcs = np.append(self.arcs, np.iinfo(np.int64).max)
         for t in range(int(size[0]) if len(size) else 0):
             n = left[t]
-            token, at = b.ids[begin[:n] + t], state[:n]
-            code = at * self.width + token
-            code[at == self.root] = -1
-            arc = np.searchsorted(self.arcs, code)
-            hit = arcs[arc] == code
-            step = self.failure[at] + self.single[token]
-            step[hit] = self.weight[arc[hit]]
+            pos, state = begin[:n] + t, level[:n]
+            step, open_ = np.zeros(n), np.ones(n, bool)
+            for k in range(order - 1, 0, -1):
+                here = open_ & (state == k)
+                arc = b.ids[k + 1][pos]
+                hit = here & (self.count[k + 1][arc] > 0)
+                step[hit] += self.weight[k + 1][arc[hit]]
+                fail = here & ~hit
+                own = b.ids[k][pos[fail] - 1]
+                if k == 1 and t == 0:
+                    own = np.where(head[:n][fail], b.start, own)
+                step[fail] += self.failure[k][own]
+                state[fail] = k - 1
+                state[hit] = min(k + 1, order - 1)
+                open_ &= ~hit
+            token = b.ids[1][pos[open_]]
+            step[open_] += self.single[token]
+            state[open_] = np.minimum(self.count[1][token] > 0, order - 1)
             total[:n] += step
-            state[:n] = self.next[token]
         return np.bincount(text, total, len(b.lengths))
 
-    def count_of_start(self) -> bool:
-        return bool(self.failure[self.block.start] < 0)
-
-
-def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
-    """Tables of about ``limit`` bytes of text each; one row at least."""
-    held, size = [], 0
-    for batch in batches:
-        sizes = np.diff(text_buffer(batch.column("text"))[1])
-        at = 0
-        while at < len(sizes):
-            room = np.cumsum(sizes[at:]) + size
-            n = int(np.searchsorted(room, limit, "left")) + 1
-            part = batch.slice(at, min(n, len(sizes) - at))
-            held.append(part)
-            size += int(sizes[at : at + part.num_rows].sum())
-            at += part.num_rows
-            if size >= limit:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _messages(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-    columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in MESSAGE.split(", ")])
 
-
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", mass: float = MASS, buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", mass: Sequence[float] = MASS, order: int = ORDER, block_bytes: int | None = None) -> DataFrame:
     """Scores of all texts under the model that the rows which aren't held out give."""
-    p = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
-
-    def ask(batches):
-        from pyspark import TaskContext
-
-        base = TaskContext.get().partitionId() << 32
-        for i, t in enumerate(gathered(batches, block_bytes)):
-            block, held = Block.read(t["text"]), t["held_out"].to_numpy(zero_copy_only=False).astype(bool)
-            counts = block.train_counts(~held)[block.order].astype(np.uint32)
-            keys = block.keys[block.order]
-            cut = np.searchsorted((keys >> U64(32)) * U64(p) >> U64(32), np.arange(p + 1))
-            rows = [(b, base + i, 0, b, frame([pack(np.diff(keys[x:y], prepend=U64(0))), pack(counts[x:y])]), 0, 0) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))]
-            ids = pa.array(t["doc_id"]).cast(pa.int64()) if not isinstance(t["doc_id"], pa.ChunkedArray) else t["doc_id"].combine_chunks()
-            known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
-            payload = frame([pack(block.ids.astype(np.uint32)), pack(block.lengths.astype(np.uint32)), pack(np.diff(block.types, prepend=U64(0))), pack(ids.fill_null(0).to_numpy(zero_copy_only=False)), pack(known), pack(held.astype(np.uint8))])
-            rows.append(((base + i) % p, base + i, 1, -1, payload, 0, 0))
-            yield _messages(rows)
-
-    def answer(key, table):
-        out, own = [], []
-        for r in table.to_pylist():
-            if r["kind"] == 1:
-                out.append((r["src"], r["src"], 1, -1, r["payload"], 0, 0))
-            else:
-                own.append((r["src"], r["bucket"], *unframe(r["payload"])))
-        if own:
-            keys = [np.cumsum(unpack(x[2]), dtype=U64) for x in own]
-            counts = [unpack(x[3]) for x in own]
-            at = np.cumsum([0, *map(len, keys)])
-            values, place = np.unique(np.concatenate(keys), return_inverse=True)
-            totals = np.bincount(place, np.concatenate(counts), len(values)).astype(np.uint64)
-            single = (values & U64(1) == 1) & (values != (mix(np.array([START], U64)) | U64(1))[0])
-            n, v = int(totals[single].sum()), int((totals[single] > 0).sum())
-            for (src, bucket, *_), x, y in zip(own, at[:-1], at[1:], strict=True):
-                out.append((src, src, 0, bucket, pack(totals[place[x:y]]), n, v))
-        return pa.Table.from_batches([_messages(out)])
-
-    def walk(key, table):
-        rows = table.to_pylist()
-        answers = sorted((r for r in rows if r["kind"] == 0), key=lambda r: r["bucket"])
-        (held_block,) = (r["payload"] for r in rows if r["kind"] == 1)
-        if [r["bucket"] for r in answers] != list(range(p)):
-            raise ValueError("a block did not get one answer from each bucket")
-        ids, lengths, types, doc, known, held = map(unpack, unframe(held_block))
-        block = Block(ids.astype(np.int64), lengths.astype(np.int64), np.cumsum(types, dtype=U64))
-        counts = np.empty(len(block.keys), np.int64)
-        counts[block.order] = np.concatenate([unpack(r["payload"]) for r in answers]).astype(np.int64)
-        n, v = sum(r["n"] for r in answers), sum(r["v"] for r in answers)
-        auto = Automaton(block, counts, n, v, mass)
+    total = docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
+    bits = key_bits(order * total // 4, 22)
+
+    def ask(t):
+        block, held = Block.read(t["text"], order), t["held_out"].to_numpy(zero_copy_only=False).astype(bool)
+        keys, places = block.keys(bits)
+        counts = [np.bincount(p, c, len(k)).astype(np.int64) for k, p, c in zip(keys, places, block.train_counts(~held), strict=True)]
+        ids = t["doc_id"].combine_chunks()
+        known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+        own = [block.ids[1].astype(np.uint32), block.lengths.astype(np.uint32), np.diff(block.types, prepend=U64(0)), ids.fill_null(0).to_numpy(zero_copy_only=False), known, held.astype(np.uint8)]
+        return list(zip(keys, counts, strict=True)), frame([pack(x) for x in own])
+
+    def stats(keys, totals):
+        word = keys[0] != (mix(np.array([START], U64)) | U64(1))[0]
+        return np.array([totals[0][word].sum(), (totals[0][word] > 0).sum()])
+
+    def walk(own, totals, told):
+        ids, lengths, types, doc, known, held = map(unpack, unframe(own))
+        block = Block(ids.astype(np.int32), lengths.astype(np.int64), np.cumsum(types, dtype=U64), order)
+        one, longer = (t.astype(np.int64)[place] for t, place in zip(totals, block.keys(bits)[1], strict=True))
+        n, v = (int(x) for x in told)
+        auto = Automaton(block, one, longer, n, v, mass)
         per_text = lambda x: np.add.reduceat(x, block.first) if len(x) else x
         columns = [
-            pa.array(doc.astype(np.int64), mask=known == 0), pa.array(held.astype(bool)), pa.array(block.lengths), pa.array(per_text((auto.count[block.ids] > 0).astype(np.int64))),
-            pa.array(np.full(len(doc), n)), pa.array(np.full(len(doc), v)), pa.array(per_text(auto.single[block.ids])), pa.array(auto.scores()),
+            pa.array(doc.astype(np.int64), mask=known == 0), pa.array(held.astype(bool)), pa.array(block.lengths), pa.array(per_text((auto.count[1][block.ids[1]] > 0).astype(np.int64))),
+            pa.array(np.full(len(doc), n)), pa.array(np.full(len(doc), v)), pa.array(per_text(auto.single[block.ids[1]])), pa.array(auto.scores()),
         ]
         return pa.Table.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")])
 
-    asked = slim.mapInArrow(ask, MESSAGE)
-    answered = asked.groupBy("dest").applyInArrow(answer, MESSAGE)
-    return answered.groupBy("dest").applyInArrow(walk, SCORES)
+    return exchange(slim, plan(docs.sparkSession, total, block_bytes), [64, bits], ask, walk, SCORES, stats=stats)
 
 
 def lm_report(docs: DataFrame, modulus: int = 7, remainder: int = 2, **options) -> DataFrame:

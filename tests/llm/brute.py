@@ -14,19 +14,26 @@ def words(text):
     return WORD.findall((text or "").translate(LOWER))
 
 
-def lm(rows, mass, held=lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2):
-    train = [words(t) + [None] for i, t in rows if not held(i)]
-    one = Counter(w for t in train for w in t)
-    two = Counter((a, b) for t in train for a, b in zip(["<s>", *t[:-1]], t, strict=True))
-    context = Counter({**one, "<s>": len(train)})
-    n, v = sum(one.values()), len(one)
-    p1 = lambda w: (one[w] + 1) / (n + v + 1)
+def lm(rows, mass, order=3, held=lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2):
+    train = [("<s>", *words(t), None) for i, t in rows if not held(i)]
+    count = [Counter(t[j : j + k] for t in train for j in range(len(t) - k + 1)) for k in range(1, order + 1)]
+    start = count[0].pop(("<s>",), 0)
+    n, v = sum(count[0].values()), len(count[0])
+
+    def p(word, history):
+        if not history:
+            return (count[0][word,] + 1) / (n + v + 1)
+        k, lower = len(history), p(word, history[1:])
+        seen = start if history == ("<s>",) else count[k - 1][history]
+        m = mass[min(k - 1, len(mass) - 1)]
+        return (count[k][(*history, word)] + m * lower) / (seen + m) if seen else lower
+
     out = []
     for i, text in rows:
-        t = [*words(text), None]
-        base = sum(math.log10(p1(w)) for w in t)
-        score = sum(math.log10((two[a, b] + mass * p1(b)) / (context[a] + mass)) for a, b in zip([("<s>"), *t[:-1]], t, strict=True))
-        out.append((i, held(i), len(t), sum(one[w] > 0 for w in t), n, round(base, 6), round(score, 6)))
+        t = ["<s>", *words(text), None]
+        base = sum(math.log10(p(w, ())) for w in t[1:])
+        score = sum(math.log10(p(t[j], tuple(t[max(0, j - order + 1) : j]))) for j in range(1, len(t)))
+        out.append((i, held(i), len(t) - 1, sum(count[0][w,] > 0 for w in t[1:]), n, round(base, 6), round(score, 6)))
     return out
 
 
