@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one on a single machine, as in tests; on a cluster it has to be set.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lemmata-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -36,6 +42,30 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that may be broadcast once they are counted.
+BROADCAST_ROWS = 1_000_000
+#: A key is hot if it has more than this many rows, and more than one in HOT_SHARE of all.
+HOT_ROWS, HOT_SHARE = 256, 100_000
+
+
+def join_spread(rows: DataFrame, lookup: DataFrame, on: list[str], times: str, spread: Column) -> DataFrame:
+    """``rows`` left-joined with ``lookup``, which holds each key once and in ``times`` how many rows have it.
+
+    Keys with many rows, fewer than HOT_SHARE by their share of all, are looked up in a broadcast table, and their rows are
+    dealt by ``spread``, so that no key's rows meet in one task.  ``lookup`` is read three times: pass a written table.
+    """
+    values = [c for c in lookup.columns if c not in (*on, times)]
+    total = lookup.agg(F.sum(times)).first()[0] or 0
+    hot = F.coalesce(F.col(times), F.lit(0)) > max(HOT_ROWS, total // HOT_SHARE)
+    if lookup.where(hot).isEmpty():
+        return rows.join(lookup.drop(times), on, "left")
+    hot_rows = lookup.where(hot).select(*on, F.struct(F.lit(True).alias("_hit"), *values).alias("_hot_values"))
+    cold = lookup.where(~hot).select(*on, F.lit(0).cast("long").alias("_deal"), F.struct(*values).alias("_cold_values"))
+    first = rows.join(F.broadcast(hot_rows), on, "left").withColumn("_deal", F.when(F.col("_hot_values").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1))))
+    both = first.join(cold, [*on, "_deal"], "left")
+    return both.select(*rows.columns, *(F.when(F.col("_hot_values._hit"), F.col(f"_hot_values.{c}")).otherwise(F.col(f"_cold_values.{c}")).alias(c) for c in values))
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A text, the empty one where it is null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -1,31 +1,27 @@
 """Removal of long repeated byte strings by a depth-limited radix sort of suffixes.
 
 A byte goes if a window of ``LENGTH`` bytes that covers it starts anywhere else as well.
-Only the first LENGTH bytes of a suffix count, so suffixes are never sorted further: they
-are split into groups by digits, most significant first, groups of one are dropped after
-each pass, and the groups that are left after the last digit are exactly the repeated
-windows.
-
-* Pass 1, digit: the ``GRAM`` bytes at the window's anchor, which is the smallest-hashed
-  gram in it (leftmost of equals).  Equal windows have equal anchors at equal places, and
-  neighbouring windows share one, so the suffixes of a run of windows move as one row:
-  one row for about 170 bytes of text.
-* Pass 2, digit: the whole stretch that the run of windows covers.  Rows that agree in it
-  are equal in all their windows.
-* Pass 3, digit: for runs whose anchor is shared but whose stretch differs from another
-  one's (the ends of repeated passages), the half of the window next to the anchor, on
-  its right for windows that start near it and on its left for the others.  One stretch
-  stands for all that are equal to it.
-* Pass 4, digit: the whole window.  Groups of up to ``MOST`` rows are compared in memory,
-  many to a task; windows of larger groups become rows and are counted.
-
-Digits are compared by 64-bit hashes together with the digit before (128 bits for a
-window).  Grouping is by partial aggregation, so groups of any size need no single task.
-Texts are known by a 64-bit hash and their length; equal texts are counted, not repeated.
+Only the first LENGTH bytes of a suffix count, so suffixes are ordered no further.  They
+are split by digits, the most significant first; after each pass groups of one are
+dropped; the groups that are left after the last digit are exactly the repeated windows.
+
+* Pass 1, digit: the first ``GRAM`` bytes of the suffix.  Suffixes whose digit has a hash
+  divisible by ``SAMPLE`` are counted over the whole table: the same ones wherever the
+  digit stands, so all occurrences of a digit are counted or none.  A suffix whose first
+  LENGTH bytes begin with or contain a digit that occurs once is itself alone and is
+  dropped; runs of neighbouring suffixes live or die together and move as ranges.
+* Pass 2, digit: the rest of the window, within the groups of pass 1 (the hash of both
+  digits).  It is taken of every suffix that is left, and groups of one are dropped.
+
+``exchange`` counts the digits, block by block, so no task sees a whole group, be it ever
+so large: a digit is one entry a block.  Between the passes equal texts, known by a 64-bit
+hash and their length, become one that counts as often as it stands in the table.  Digits
+of pass 1 are compared by few bits, as a wrong match only leaves more to pass 2; those of
+pass 2 by so many that one window in four thousand million meets another by chance.
 
 Nulls and edges: a null text is the empty text; texts shorter than LENGTH lose nothing;
 matches never cross texts; two equal rows make each other's windows repeated; an empty
-table gives an empty result.
+table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,241 +33,145 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import U64, batches_of, between, mix, prefix, text_buffer
-from .common import materialize, text_of
-
-LENGTH, GRAM = 400, 64
-#: Rows of a group that one task compares at most, rows of a task's bucket, and keys that may be broadcast.
-MOST, BUCKET_ROWS, BROADCAST_ROWS = 16_384, 8_192, 2_000_000
-_PIECE = 1 << 22
-_ROWS = "gram long, stretch long, text_key long, size long, lo long, at int, n int, times long"
+from .bytesops import U64, between, mix, prefix, text_buffer
+from .common import BROADCAST_ROWS, join_spread, materialize, text_of
+from .exchange import Plan, exchange, frame, key_bits, pack, plan, unframe, unpack
 
+LENGTH, GRAM, SAMPLE = 400, 64, 16
+_PIECE = 1 << 20
+_RANGES = "text_key long, size long, ranges array<struct<lo:long,hi:long>>"
+_CUT = "text_key long, size long, gone long, count long, sha string, times long"
 
-def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each run of ``width`` values."""
-    n = len(values) - width + 1
-    padded = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max, U64)
-    padded[: len(values)] = values
-    rows = padded.reshape(-1, width)
-    left = np.minimum.accumulate(rows, axis=1).ravel()
-    right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
-
-def anchored_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first window, anchor, number of windows) of each run of windows of one text that share their anchor."""
-    out = []
-    for begin in range(0, len(data) - length + 1, _PIECE):
-        part = data[begin : begin + _PIECE + length - 1]
-        sums = prefix(part)
+def sampled(data: np.ndarray, offsets: np.ndarray, gram: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the digits of pass 1 that are counted; a digit never crosses texts."""
+    places, hashes = [], []
+    for begin in range(0, max(0, len(data) - gram + 1), _PIECE):
+        part = data[begin : begin + _PIECE + gram - 1]
         start = np.arange(len(part) - gram + 1)
-        h = mix(between(sums, start, start + gram))
-        packed = (h & ~U64(0xFFFFFF)) | start.astype(U64)
-        at = (_sliding_min(packed, length - gram + 1) & U64(0xFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        out.append((h[at[first]], first + begin, at[first] + begin, np.diff(np.append(first, len(at)))))
-    if not out:
-        return np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-
-def runs_of(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The rows of pass 1."""
+        h = mix(between(prefix(part), start, start + gram))
+        hit = np.flatnonzero(h % U64(sample) == 0)
+        places.append(hit + begin)
+        hashes.append(h[hit])
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    at, h = np.concatenate(places), np.concatenate(hashes)
+    inside = at + gram <= offsets[np.searchsorted(offsets, at, "right")]
+    return at[inside], h[inside]
+
+
+def left_over(sizes: np.ndarray, at: np.ndarray, text: np.ndarray, alone: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, lo, hi): ranges of suffixes that no lone digit kills; ``at`` are the places of digits in their ``text``."""
+    n = len(sizes)
+    # A wall stands before each text, at every lone digit, and behind the last digit that fits.
+    which = np.concatenate([np.arange(n), text[alone], np.arange(n)])
+    wall = np.concatenate([np.full(n, -1), at[alone], sizes - gram + 1])
+    order = np.lexsort((wall, which))
+    which, wall = which[order], wall[order]
+    lo, hi = wall[:-1] + 1, wall[1:] - (length - gram)
+    keep = (which[1:] == which[:-1]) & (hi > lo)
+    return which[:-1][keep], lo[keep], hi[keep]
+
+
+def surviving(docs: DataFrame, sizes: Plan, total: int, text: str, length: int, gram: int, sample: int) -> DataFrame:
+    """Pass 1: (text_key, size, ranges) of each row with suffixes that are left."""
     slim = docs.select(F.xxhash64(text_of(text)).alias("text_key"), F.octet_length(text_of(text)).cast("long").alias("size"), F.col(text).alias("text")).where(F.col("size") >= length)
-    names = [x.split()[0] for x in _ROWS.split(", ")]
-
-    def run(batches):
-        import xxhash
-
-        for b in batches_of(batches, 2 << 20):
-            data, offsets = text_buffer(b.column("text"))
-            keys, sizes = b.column("text_key").to_numpy(), b.column("size").to_numpy()
-            times: dict[tuple[int, int], list[int]] = {}
-            for i, k in enumerate(zip(keys.tolist(), sizes.tolist(), strict=True)):
-                times.setdefault(k, [i, 0])[1] += 1
-            parts = []
-            for i, n in times.values():
-                own = data[offsets[i] : offsets[i + 1]]
-                view = memoryview(own)
-                g, lo, at, count = anchored_runs(own, length, gram)
-                stretch = np.fromiter((xxhash.xxh3_64_intdigest(view[x : x + c + length - 1], seed=int(d)) for x, c, d in zip(lo.tolist(), count.tolist(), (at - lo).tolist(), strict=True)), U64, len(lo))
-                parts.append((g, stretch, np.full(len(g), keys[i]), np.full(len(g), sizes[i]), lo, (at - lo).astype(np.int32), count.astype(np.int32), np.full(len(g), n)))
-            if parts:
-                g, s, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.view(np.int64), s.view(np.int64), *rest)], names=names)
-
-    return slim.mapInArrow(run, _ROWS)
-
-
-_HALVES = "gram long, side int, digit long, text_key long, size long, anchor long, base int, first int, last int, part binary"
-
-
-def _halves_of(docs: DataFrame, asked: DataFrame, text: str, length: int, gram: int) -> DataFrame:
-    """The rows of pass 3: for each stretch asked for, its windows with less than half their room before the anchor (side 0) and the others (side 1).
-
-    All windows of a side share a digit: the bytes behind the anchor's gram, or those before it. ``part`` holds the bytes of the
-    windows, ``base`` the place of the anchor in it, ``first`` and ``last`` the distances from a window's start to the anchor.
-    """
-    room = length - gram
-    half = room // 2
-    keys = asked.select("text_key", "size")
-    side = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    own = docs.select(F.xxhash64(text_of(text)).alias("text_key"), F.octet_length(text_of(text)).cast("long").alias("size"), F.col(text).alias("text")).join(side, ["text_key", "size"])
-    joined = own.groupBy("text_key", "size").agg(F.first("text").alias("text")).join(asked, ["text_key", "size"]).select("text_key", "size", "text", "asked")
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-
-    def run(batches):
-        import xxhash
-
-        for b in batches_of(batches, 1 << 20):
-            data, offsets = text_buffer(b.column("text"))
-            out: list[tuple] = []
-            for i, (key, size, stretches) in enumerate(zip(b.column("text_key").to_pylist(), b.column("size").to_pylist(), b.column("asked").to_pylist(), strict=True)):
-                raw = data[offsets[i] : offsets[i + 1]].tobytes()
-                for x in stretches:
-                    anchor, most = x["lo"] + x["at"], x["at"]
-                    least = most - x["n"] + 1
-                    for which, first, last in ((0, least, min(most, half - 1)), (1, max(least, half), most)):
-                        if first > last:
-                            continue
-                        shared = raw[anchor + gram : anchor + gram + room - half + 1] if which == 0 else raw[anchor - half : anchor]
-                        digit = int(np.array(xxhash.xxh3_64_intdigest(shared), U64).astype(np.int64))
-                        out.append((x["gram"], which, digit, key, size, anchor, last, first, last, raw[anchor - last : anchor - first + length]))
-            columns = zip(*out, strict=True) if out else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _HALVES.split(", ")])
-
-    return joined.mapInArrow(run, _HALVES)
-
-
-def repeated_offsets(group: np.ndarray, parts: pa.Array, base: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, distance to the anchor) of every window that another row of its group holds at the same distance."""
-    sizes = np.array([len(x) for x in parts.to_pylist()], np.int64)
-    at = np.cumsum(sizes) - sizes
-    sums = prefix(np.frombuffer(b"".join(parts.to_pylist()), np.uint8))
-    rows, places = [], []
-    for o in range(int(first.min(initial=0)), int(last.max(initial=-1)) + 1):
-        own = np.flatnonzero((first <= o) & (o <= last))
-        if len(own) < 2:
-            continue
-        start = at[own] + base[own] - o
-        key = mix(between(sums, start, start + length) + group[own])
-        _, which, n = np.unique(key, return_inverse=True, return_counts=True)
-        hit = own[n[which] > 1]
-        rows.append(hit)
-        places.append(np.full(len(hit), o))
-    return (np.concatenate(rows), np.concatenate(places)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-_SPANS = "text_key long, size long, a long, b long"
-
-
-def _spans_batch(table, row: np.ndarray, place: np.ndarray, length: int) -> pa.Table:
-    """Runs of neighbouring repeated windows as spans of bytes."""
-    order = np.lexsort((place, row))
-    row, place = row[order], place[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(row)) - 1 if len(begin) else begin
-    who = row[begin] if len(begin) else np.zeros(0, np.int64)
-    anchor = table["anchor"].to_numpy()[who]
-    return pa.table({"text_key": table["text_key"].to_numpy()[who], "size": table["size"].to_numpy()[who], "a": anchor - place[end], "b": anchor - place[begin] + length})
-
-
-def _compare_groups(halves: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Spans repeated within the groups (gram, side, digit), many groups to a task."""
-
-    def run(key, table):
-        table = table.combine_chunks()
-        group = mix(table["gram"].to_numpy().view(U64) + mix(table["digit"].to_numpy().view(U64) + table["side"].to_numpy().astype(U64)))
-        row, place = repeated_offsets(group, table["part"].combine_chunks(), *(table[c].to_numpy().astype(np.int64) for c in ("base", "first", "last")), length)
-        return _spans_batch(table, row, place, length)
-
-    return halves.withColumn("bucket", F.pmod(F.xxhash64("gram", "side", "digit"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, _SPANS)
-
-
-def _compare_windows(halves: DataFrame, length: int) -> DataFrame:
-    """The same for groups too large for a task: every window is a row, windows are counted by partial aggregation."""
-    kind = "gram long, win long, text_key long, size long, p long"
-
-    def run(batches):
-        import xxhash
-
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                for o in range(r["first"], r["last"] + 1):
-                    begin = r["base"] - o
-                    rows.append((r["gram"], int(np.array(xxhash.xxh3_64_intdigest(r["part"][begin : begin + length]), U64).astype(np.int64)), r["text_key"], r["size"], r["anchor"] - o))
-            columns = zip(*rows, strict=True) if rows else [[] for _ in range(5)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=[x.split()[0] for x in kind.split(", ")])
-
-    windows = materialize(halves.mapInArrow(run, kind), "suffix-windows")
-    repeated = windows.groupBy("gram", "win").agg(F.count("*").alias("c")).where("c > 1").select("gram", "win")
-    return windows.join(repeated, ["gram", "win"]).select("text_key", "size", F.col("p").alias("a"), (F.col("p") + length).alias("b"))
-
-
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(text_key, size, spans array<struct<a,b>>): stretches of each text whose every byte is covered by a repeated window; they may overlap."""
-    rows = materialize(runs_of(docs, text, length, gram), "suffix-runs")
-    place = F.struct("text_key", "size", "lo", "at", "n")
-    classes = materialize(rows.groupBy("gram", "stretch").agg(F.sum("times").alias("times"), F.min(place).alias("r")), "suffix-stretches")
-    mixed = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
-    # A stretch that occurs more than once is repeated in all its windows.
-    often = classes.where("times > 1").select("gram", "stretch")
-    whole = rows.join(often, ["gram", "stretch"]).select("text_key", "size", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + (length - 1)).alias("b"))
-    chosen = classes.join(mixed, "gram").select("gram", "r.*")
-    asked = materialize(chosen.groupBy("text_key", "size").agg(F.collect_list(F.struct("gram", "lo", "at", "n")).alias("asked")), "suffix-asked")
-    halves = materialize(_halves_of(docs, asked, text, length, gram), "suffix-halves")
-    sizes = halves.groupBy("gram", "side", "digit").agg(F.count("*").alias("c"))
-    large = materialize(sizes.where(F.col("c") > MOST).select("gram", "side", "digit"), "suffix-large")  # at most rows / MOST groups
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), halves.count() // BUCKET_ROWS + 1)
-    shared = sizes.where(F.col("c") > 1).select("gram", "side", "digit")
-    few = _compare_groups(halves.join(F.broadcast(large), ["gram", "side", "digit"], "left_anti").join(shared, ["gram", "side", "digit"], "left_semi"), length, buckets)
-    spans = whole.unionByName(few)
-    if not large.isEmpty():
-        spans = spans.unionByName(_compare_windows(halves.join(F.broadcast(large), ["gram", "side", "digit"], "left_semi"), length))
-    return spans.groupBy("text_key", "size").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-
-
-def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
-
-
-def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    bits = key_bits(total // sample, 8)
+
+    def ask(t):
+        data, offsets = text_buffer(t["text"])
+        at, h = sampled(data, offsets, gram, sample)
+        keys, place, n = np.unique(h >> U64(64 - bits), return_inverse=True, return_counts=True)
+        own = [t["text_key"].to_numpy(), t["size"].to_numpy(), np.diff(np.searchsorted(at, offsets)).astype(np.uint32), np.diff(at, prepend=0).astype(np.uint32), place.astype(np.uint32)]
+        return [(keys, np.minimum(n, 2))], frame([pack(x) for x in own])
+
+    def walk(own, totals, told):
+        key, size, n, at, place = map(unpack, unframe(own))
+        repeated = totals[0][place] > 0
+        which = np.repeat(np.arange(len(size)), n)
+        within = np.cumsum(at.astype(np.int64)) - (np.cumsum(size) - size)[which]
+        who, lo, hi = left_over(size, within, which, ~repeated, length, gram)
+        names, begin = np.unique(who, return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(who)), pa.int32()), pa.StructArray.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["lo", "hi"]))
+        return pa.table({"text_key": key[names], "size": size[names], "ranges": lists})
+
+    return exchange(slim, sizes, [bits], ask, walk, _RANGES, reply=_more_than_one)
+
+
+def _more_than_one(totals: np.ndarray) -> np.ndarray:
+    return (totals > 1).astype(np.uint8)
+
+
+def _windows(t: pa.Table, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, key, times) of the suffixes of pass 2, in order; the key is the hash of both digits."""
+    data, offsets = text_buffer(t["text"])
+    ranges = t["ranges"].combine_chunks()
+    n = ranges.value_lengths().to_numpy()
+    flat = ranges.flatten()
+    lo, hi = flat.field("lo").to_numpy(), flat.field("hi").to_numpy()
+    row = np.repeat(np.repeat(np.arange(len(n)), n), hi - lo)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+    at = start + offsets[row]
+    sums = prefix(data)
+    first, rest = mix(between(sums, at, at + gram)), between(sums, at + gram, at + length)
+    return row, start, mix(first + mix(rest) * U64(0x9E3779B97F4A7C15)), t["times"].to_numpy()[row]
+
+
+def repeated_windows(texts: DataFrame, sizes: Plan, total: int, length: int, gram: int) -> DataFrame:
+    """Pass 2: (text_key, size, gone, count, sha, times) of each text: what its repeated windows cover, and a digest of the rest."""
+    bits = key_bits(total, 32)
+
+    def ask(t):
+        _, _, key, times = _windows(t, length, gram)
+        keys, place = np.unique(key >> U64(64 - bits), return_inverse=True)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(t)
+        return [(keys, np.minimum(np.bincount(place, times, len(keys)), 2).astype(np.int64))], sink.getvalue().to_pybytes()
+
+    def walk(own, totals, told):
+        t = pa.ipc.open_stream(own).read_all().combine_chunks()
+        row, start, key, _ = _windows(t, length, gram)
+        place = np.unique(key >> U64(64 - bits), return_inverse=True)[1]
+        hit = totals[0][place] > 0
+        row, start = row[hit], start[hit]
+        data, offsets = text_buffer(t["text"])
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + length)
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(row))[: len(begin)] - 1
+        of, a, b = row[begin], start[begin], start[last] + length
+        cut = np.searchsorted(of, np.arange(t.num_rows + 1))
+        out = []
+        for i in range(t.num_rows):
+            view, at, kept, gone = memoryview(data[offsets[i] : offsets[i + 1]]), 0, hashlib.sha256(), 0
+            for x, y in zip(a[cut[i] : cut[i + 1]].tolist(), b[cut[i] : cut[i + 1]].tolist(), strict=True):
+                kept.update(view[at:x])
+                at, gone = y, gone + y - x
+            kept.update(view[at:])
+            out.append((gone, int(cut[i + 1] - cut[i]), kept.hexdigest()))
+        gone, count, sha = zip(*out, strict=True) if out else ([], [], [])
+        return pa.table({"text_key": t["text_key"], "size": t["size"], "gone": pa.array(gone, pa.int64()), "count": pa.array(count, pa.int64()), "sha": pa.array(sha, pa.string()), "times": t["times"]})
+
+    return exchange(texts, sizes, [bits], ask, walk, _CUT, reply=_more_than_one)
+
+
+def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, sample: int = SAMPLE, block_bytes: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Each distinct text is cut once; its copies join the result without their texts.
     """
-    spans = repeated_spans(docs, text, length, gram)
-    whole = text_of(text)
+    spark, whole = docs.sparkSession, text_of(text)
+    total = docs.agg(F.sum(F.octet_length(whole))).first()[0] or 0
+    left = materialize(surviving(docs, plan(spark, total, block_bytes), total, text, length, gram, sample), "suffix-ranges")
+    asked = materialize(left.groupBy("text_key", "size").agg(F.first("ranges").alias("ranges"), F.count("*").alias("times")), "suffix-asked")
+    n, bytes_left, windows = asked.agg(F.count("*"), F.sum("size"), F.sum(F.expr("aggregate(ranges, 0L, (a, r) -> a + r.hi - r.lo)"))).first()
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("text_key"), F.octet_length(whole).cast("long").alias("size"), whole.alias("text"))
-    texts = own.where(F.col("size") >= length).groupBy("text_key", "size").agg(F.first("text").alias("text"))
-
-    def run(batches):
-        for b in batches_of(batches, 2 << 20):
-            data, offsets = text_buffer(b.column("text"))
-            out = []
-            for i, found in enumerate(b.column("spans").to_pylist()):
-                view = memoryview(data[offsets[i] : offsets[i + 1]])
-                merged = merge_spans([(x["a"], x["b"]) for x in found])
-                at, kept = 0, hashlib.sha256()
-                for x, y in merged:
-                    kept.update(view[at:x])
-                    at = y
-                kept.update(view[at:])
-                out.append((sum(y - x for x, y in merged), len(merged), kept.hexdigest()))
-            gone, count, sha = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([b.column("text_key"), b.column("size"), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], names=["text_key", "size", "gone", "count", "sha"])
-
-    cut = texts.join(spans.hint("shuffle_hash"), ["text_key", "size"]).select("text_key", "size", "text", "spans").mapInArrow(run, "text_key long, size long, gone long, count long, sha string")
-    rows = own.select("doc_id", "text_key", "size", F.sha2("text", 256).alias("_whole")).join(cut, ["text_key", "size"], "left")
+    found = own.select("text_key", "size", "text").join(F.broadcast(asked) if n <= BROADCAST_ROWS else asked.hint("shuffle_hash"), ["text_key", "size"])
+    once = found.groupBy("text_key", "size").agg(F.first("text").alias("text"), F.first("ranges").alias("ranges"), F.first("times").alias("times"))
+    texts = materialize(once, "suffix-texts")
+    cut = materialize(repeated_windows(texts, plan(spark, bytes_left or 0, block_bytes), windows or 0, length, gram), "suffix-cut")
+    rows = own.select("doc_id", "text_key", "size", F.sha2("text", 256).alias("_whole"))
+    out = join_spread(rows, cut, ["text_key", "size"], "times", F.col("doc_id"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias
-    return rows.select("doc_id", F.col("size").alias("n_bytes"), zero("gone")("n_removed"), zero("count")("n_spans"), F.coalesce("sha", "_whole").alias("kept_sha256"))
+    return out.select("doc_id", F.col("size").alias("n_bytes"), zero("gone")("n_removed"), zero("count")("n_spans"), F.coalesce("sha", "_whole").alias("kept_sha256"))

@@ -61,10 +61,21 @@ def rows(request, driver_rows, awkward_rows):
     return {"driver": driver_rows, "awkward": awkward_rows, "empty": []}[request.param]
 
 
+LM = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
+def same_scores(df, rows, **options):
+    got, want = rows_of(df, LM), ordered(brute.lm(rows, lmscore.MASS, **options))
+    return [r[:5] for r in got] == [r[:5] for r in want] and all(abs(x - y) < 1e-5 for a, b in zip(got, want, strict=True) for x, y in zip(a[5:], b[5:], strict=True))
+
+
 def test_lm_scores(spark, rows):
-    got = lmscore.lm_report(docs_of(spark, rows), block_bytes=40_000)
-    got = [(*r[:5], round(r[5], 6), round(r[6], 6)) for r in rows_of(got, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])]
-    assert got == ordered(brute.lm(rows, lmscore.MASS))
+    assert same_scores(lmscore.lm_report(docs_of(spark, rows), block_bytes=40_000), rows)
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_lm_orders(spark, awkward_rows, order):
+    assert same_scores(lmscore.lm_report(docs_of(spark, awkward_rows), block_bytes=9_000, order=order), awkward_rows, order=order)
 
 
 def test_lm_long_text_in_segments(spark, monkeypatch):
@@ -78,15 +89,13 @@ def test_repeats(spark, rows):
     assert rows_of(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == ordered(brute.repeats(rows, repeats.LENGTH))
 
 
-@pytest.mark.parametrize("most", [16_384, 2])
-def test_repeats_random_overlaps(spark, monkeypatch, most):
-    """Also with groups that are too large for a task."""
-    monkeypatch.setattr(repeats, "MOST", most)
+def test_repeats_random_overlaps(spark):
     rng = random.Random(3)
     pool = ["".join(rng.choice("ab") for _ in range(90)) for _ in range(4)]
     rows = [(k, "".join(rng.choice(pool)[rng.randint(0, 20) :] for _ in range(rng.randint(1, 9)))) for k in range(60)]
-    got = repeats.removal_report(docs_of(spark, rows), length=60, gram=16)
-    assert rows_of(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == ordered(brute.repeats(rows, 60))
+    for sample in (1, 4, 16):
+        got = repeats.removal_report(docs_of(spark, rows), length=60, gram=16, sample=sample, block_bytes=2_000)
+        assert rows_of(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == ordered(brute.repeats(rows, 60))
 
 
 def test_line_dedup(spark, rows):
