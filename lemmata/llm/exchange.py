@@ -13,7 +13,7 @@ chance with a probability that is chosen.  Blocks are numbered by partition and
 the rows must come from files: a task that is run again then makes the same blocks.
 
 Scale: messages number blocks times buckets.  ``plan`` grows blocks from 8 to 64 MB and
-buckets from one per 16 MB with the text, and keeps messages above about 500 bytes: 100 TB
+buckets from one per 8 MB with the text, and keeps messages above about 500 bytes: 100 TB
 make 1.6 million blocks of 64 MB and 131,072 buckets, each of which adds up about 1 GB.
 """
 
@@ -43,10 +43,10 @@ class Plan:
     tasks: int
 
 
-def plan(spark, total_bytes: int, block_bytes: int | None = None) -> Plan:
-    """Sizes for ``total_bytes`` of text."""
-    block = block_bytes or int(min(64 << 20, max(8 << 20, (8 << 20) * sqrt(total_bytes / (1 << 40)))))
-    buckets = max(4, min(ceil(total_bytes / (16 << 20)), max(16, block // 512)))
+def plan(spark, total_bytes: int, block_bytes: int | None = None, least: int = 8 << 20) -> Plan:
+    """Sizes for ``total_bytes`` of text; blocks hold ``least`` bytes or more."""
+    block = block_bytes or int(min(64 << 20, max(least, (8 << 20) * sqrt(total_bytes / (1 << 40)))))
+    buckets = max(4, min(ceil(total_bytes / (8 << 20)), max(16, block // 512)))
     return Plan(block, buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total_bytes / block)))
 
 
