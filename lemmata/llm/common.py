@@ -55,10 +55,11 @@ def join_spread(rows: DataFrame, lookup: DataFrame, on: list[str], times: str, s
     dealt by ``spread``, so that no key's rows meet in one task.  ``lookup`` is read three times: pass a written table.
     """
     values = [c for c in lookup.columns if c not in (*on, times)]
-    total = lookup.agg(F.sum(times)).first()[0] or 0
-    hot = F.coalesce(F.col(times), F.lit(0)) > max(HOT_ROWS, total // HOT_SHARE)
-    if lookup.where(hot).isEmpty():
+    total, most = lookup.agg(F.sum(times), F.max(times)).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    if (most or 0) <= least:
         return rows.join(lookup.drop(times), on, "left")
+    hot = F.coalesce(F.col(times), F.lit(0)) > least
     hot_rows = lookup.where(hot).select(*on, F.struct(F.lit(True).alias("_hit"), *values).alias("_hot_values"))
     cold = lookup.where(~hot).select(*on, F.lit(0).cast("long").alias("_deal"), F.struct(*values).alias("_cold_values"))
     first = rows.join(F.broadcast(hot_rows), on, "left").withColumn("_deal", F.when(F.col("_hot_values").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1))))
@@ -66,6 +67,17 @@ def join_spread(rows: DataFrame, lookup: DataFrame, on: list[str], times: str, s
     return both.select(*rows.columns, *(F.when(F.col("_hot_values._hit"), F.col(f"_hot_values.{c}")).otherwise(F.col(f"_cold_values.{c}")).alias(c) for c in values))
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, so that helper columns never meet a column of the caller's."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A text, the empty one where it is null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
