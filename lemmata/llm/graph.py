@@ -1,22 +1,26 @@
-"""Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014)."""
+"""Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014).
+
+A hub with a large share of all edges is looked up in a broadcast table (``join_spread``),
+so its edges don't meet in one task.  Edges with a null end are passed over.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_spread, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link neighbours to the smallest node around: larger neighbours (large star) or the node and its smaller ones (small star)."""
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "star")
+        return join_spread(both.where("v > u"), least, ["u"], "n", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "star")
+    moved = join_spread(down, least, ["u"], "n", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
@@ -27,7 +31,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     now = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "edges")
     state = None
-    while True:
+    while not now.isEmpty():
         now = materialize(_star(_star(now, True), False), "edges")
         seen = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if seen == state:

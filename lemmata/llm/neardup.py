@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U64, batches_of, mix, text_buffer, words
-from .common import materialize, text_of
+from .common import join_spread, materialize, spare, text_of
 from .graph import components
 
 SHINGLE = 5
@@ -254,7 +254,10 @@ def _tile_links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
-    """The rows of ``describe`` without sig, with the component of those that have shingles."""
+    """The rows of ``describe`` without sig, with the component of those that have shingles and its smallest doc_id.
+
+    Classes are named first, then rows by their class, so neither the classes of a component nor the copies of a class meet in one task.
+    """
     rows = materialize(describe(docs, doc_id, text), "signatures")
     classes = materialize(rows.where("node >= 0").groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
     keys = _keys_of(classes, chunks_of(percent))
@@ -283,31 +286,36 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     large = _tile_links(todo.where(F.col("c") > SMALL).join(classes.select("node", "sig"), "node").join(texts, "node"), percent)
     final = components(links.unionByName(more).unionByName(large))
 
-    return rows.drop("sig").join(final, "node", "left").withColumn("component", F.when(F.col("node") >= 0, F.coalesce("component", "node")))
+    nodes = rows.where("node >= 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    placed = materialize(nodes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed-classes")
+    least = materialize(placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")), "components")
+    told = materialize(join_spread(placed.drop("least"), least, ["component"], "classes", F.col("node")), "named-classes")
+    slim = rows.drop("sig")
+    full = join_spread(slim.where("node >= 0"), told, ["node"], "n", F.xxhash64("doc_id", "text_key"))
+    return full.unionByName(slim.where("node < 0").withColumns({"component": F.lit(None).cast("long"), "component_id": F.col("doc_id")}))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """A row per row of ``docs``: doc_id, text_key, n_shingles, component_id, kept."""
     named = _grouped(docs, doc_id, text, percent)
-    least = named.where("node >= 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "component", "left").withColumn("component_id", F.when(F.col("node") < 0, F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return named.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, and all rows without shingles, which are linked with nothing.
 
     Of a group the row of the smallest doc_id (null last), then of the smallest text_key stays; of rows equal in both
-    the smallest by all columns.
+    the smallest by all columns.  All columns are passed through, whatever their names.
     """
+    own_, id_, key_, many_ = spare(docs, "_own", "_id", "_key", "_many")
     named = _grouped(docs, "doc_id", "text", percent)
     copies = materialize(named.groupBy("node", "component", "doc_id", "text_key").agg(F.count("*").alias("n")), "copies")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "n")
-    chosen = copies.where("node >= 0").groupBy("component").agg(F.min(rank).alias("_k")).select("_k.doc_id", "_k.text_key", (F.col("_k.n") > 1).alias("_many"))
-    empty = copies.where("node < 0").select("doc_id", "text_key", F.lit(False).alias("_many"))
-    keys = chosen.unionByName(empty).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_many")
-    own = docs.withColumn("_own", F.xxhash64(text_of("text")))
-    held = own.join(keys.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
-    single = held.where("NOT _many").select(*docs.columns)
-    least = held.where("_many").groupBy("_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    chosen = copies.where("node >= 0").groupBy("component").agg(F.min(rank).alias("_k")).select("_k.doc_id", "_k.text_key", (F.col("_k.n") > 1).alias("many"))
+    empty = copies.where("node < 0").select("doc_id", "text_key", F.lit(False).alias("many"))
+    keys = chosen.unionByName(empty).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_), F.col("many").alias(many_))
+    own = docs.withColumn(own_, F.xxhash64(text_of("text")))
+    held = own.join(keys.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own_) == F.col(key_)))
+    single = held.where(~F.col(many_)).select(*docs.columns)
+    least = held.where(many_).groupBy(id_, key_).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
     return single.unionByName(least)
