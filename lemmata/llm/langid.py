@@ -6,11 +6,13 @@ compressed whole, ``PIECE`` bytes at a time, once per dictionary; the language w
 dictionary gives the smallest sum wins, and the prediction is rejected where the
 runner-up is nearly as small.
 
-Parameters that bound the sample: ``per_lang`` texts of each language, those whose id has
-the smallest hash, and ``dict_bytes`` bytes of them, an equal share of each text really
-sampled.  A text longer than its share gives up to ``pieces`` pieces, one at a hashed place
-in each equal part of it, of ``least_piece`` letters or more.  The driver holds one dictionary per
-language label; nothing else is collected.
+Parameters that bound the sample: ``per_lang`` texts of each language, those whose id and
+text have the smallest hash, and ``dict_bytes`` bytes of them, an equal share of each text
+really sampled.  The labels' counts give a bound on the hash below which twice as many
+texts are expected as are wanted; only those are ranked, so a label's rows never meet in
+one task, and repeated rows are one.  A text longer than its share gives up to ``pieces``
+pieces, one at a hashed place in each equal part of it, of ``least_piece`` letters or more.
+The driver holds one count and one dictionary per language label, and no other texts.
 
 Nulls and edges: a null text or one without a letter is ``und`` with score 0 and
 rejected; where the two smallest sums tie, a slower
@@ -27,13 +29,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_held_out
+from .common import is_held_out, spare
 
 UNDETERMINED = "und"
 #: Bytes compressed at once, so that the dictionary counts as much at the end of a long text as at its start.
 PIECE = 4096
 #: Predictions whose runner-up is not larger by this share are rejected.
 MIN_MARGIN = 0.005
+RESULTS = ("lang_pred", "score", "rejected")
 
 
 def letters_only(text: str) -> Column:
@@ -58,26 +61,33 @@ def fit_dictionaries(labelled: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Each text gives an equal share, from all over it, so that one very long document or a common beginning doesn't fill a dictionary alone.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id)).alias("h"), F.col(text).alias("text"))
-    order = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang)
-    chosen = chosen.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("share", F.expr(f"cast(greatest(1, {dict_bytes} div sum(n) OVER (PARTITION BY lang)) AS int)")).drop("n")
-    cut = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "share", letters_only("text").alias("text"))
+    spark = labelled.sparkSession
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"), F.col(text).alias("text"))
+    counts = [(r["lang"], min(1 << 62, int(2 * per_lang / r["n"] * (1 << 62)))) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    bounds = spark.createDataFrame(counts, "lang string, bound long")
+    few = rows.join(F.broadcast(bounds), "lang").where(F.shiftrightunsigned("h", 2) < F.col("bound")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    own = Window.partitionBy("lang")
+    chosen = few.withColumn("n", F.row_number().over(own.orderBy("h"))).where(F.col("n") <= per_lang).withColumn("share", F.expr(f"cast(greatest(1, {dict_bytes} div count(*) OVER (PARTITION BY lang)) AS int)"))
+    cut = chosen.select("lang", "h", "share", letters_only("text").alias("text"))
     cut = cut.withColumns({"_n": F.char_length("text"), "_k": F.expr(f"cast(least({pieces}, greatest(1, share div {least_piece})) AS int)")})
     place = "(i * (_n div _k) + pmod(xxhash64(h, i), _n div _k - share div _k + 1) + 1)"
     spread = F.expr(f"array_join(transform(sequence(0, _k - 1), i -> substring(text, cast({place} AS int), cast(share div _k AS int))), ' ')")
-    sample = cut.select("lang", "h", F.when(F.col("_n") <= F.col("share"), F.col("text")).otherwise(spread).alias("text"))
+    sample = cut.select("lang", "h", "share", F.when(F.col("_n") <= F.col("share"), F.col("text")).otherwise(spread).alias("text"))
     texts = defaultdict(list)
-    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
-        texts[r["lang"]].append(r["text"].encode())
-    return {k: b"\n".join(v)[-dict_bytes:] for k, v in sorted(texts.items())}
+    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"])):
+        texts[r["lang"]].append(r["text"].encode()[: r["share"]].decode(errors="ignore").encode())
+    return {k: b"\n".join(v)[:dict_bytes] for k, v in sorted(texts.items())}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
-    """``docs`` with lang_pred, score (relative margin over the runner-up, 0 to 1) and rejected."""
+    """``docs`` with lang_pred, score (relative margin over the runner-up, 0 to 1) and rejected.
+
+    Where ``docs`` has a column of such a name, the result's name gets a trailing underscore.
+    """
     names, blobs, own = list(dictionaries), list(dictionaries.values()), list(docs.columns)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    marked = docs.withColumn("_letters", letters_only(text))
+    lang_, score_, rejected_, letters_ = spare(docs, *RESULTS, "_letters")
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_, T.StringType()), T.StructField(score_, T.DoubleType()), T.StructField(rejected_, T.BooleanType())])
+    marked = docs.withColumn(letters_, letters_only(text))
 
     def run(batches):
         kinds, strong = [_compressor(b) for b in blobs], [_compressor(b, True) for b in blobs]
@@ -87,7 +97,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
 
         for batch in batches:
             langs, scores, rejected = [], [], []
-            for letters in batch.column("_letters"):
+            for letters in batch.column(letters_):
                 raw = letters.as_buffer()
                 if not raw or not raw.size or not kinds:
                     langs.append(UNDETERMINED)
@@ -103,7 +113,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
                 scores.append(margin)
                 rejected.append(margin < min_margin)
             columns = [batch.column(c) for c in own]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*own, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*own, lang_, score_, rejected_])
 
     return marked.mapInArrow(run, schema)
 
@@ -119,6 +129,6 @@ def language_report(docs: DataFrame, modulus: int = 5, **options) -> DataFrame:
 def keep_identified(docs: DataFrame, modulus: int = 5, min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows whose language is told with a sufficient margin, with their own columns."""
     fitted = fit_dictionaries(docs.where(~is_held_out("doc_id", modulus, 0)))
-    return identify(docs, fitted, min_margin=min_margin).where(~F.col("rejected")).drop("lang_pred", "score", "rejected")
+    return identify(docs, fitted, min_margin=min_margin).where(~F.col(spare(docs, *RESULTS)[2])).select(*docs.columns)
 
 
