@@ -2,9 +2,10 @@
 
 The words of each source form one stream: documents in pseudorandom order, cut into
 blocks of ``BLOCK`` words.  The offset of a document in its stream is a two-level prefix
-sum: documents are dealt by hash to shards of about ``SHARD_DOCS`` rows, summed within
-their shard, and the shards' sums are summed per source.  So a source with a third of
-all rows is not one task.
+sum: documents are dealt by hash to shards, summed within
+their shard, and the shards' sums are summed per source.  A source has as many shards as
+a shard has documents (the root of its rows), so neither a shard nor the shards' sums of a
+source with a third of all rows are a large task.
 
 Each source has a quota of words.  For each output shard the driver draws multinomial
 counts of block slots from what is left of the quotas (the last shards take the rest, so
@@ -18,11 +19,12 @@ counted over the rows of the mixed corpus.
 
 Targets: sources by code point, null last, weigh ``WEIGHTS`` in turn and share all words;
 a target stops at ``CAP`` times its source's words and the excess is shared again by
-weight.  The driver holds one row per source.
+weight.  The driver holds one row per source, and one per source and output shard.
 
 Nulls and edges: a null or blank text has size 0 and is never taken; a null source is a
-source of its own; sources without words get target 0; equal rows get equal results; an
-empty table gives an empty result; no source with words is ever dropped.
+source of its own; sources without words get target 0; equal rows stand at different
+places of their stream, so what is taken of them may differ; an empty table gives an empty
+result; no source with words is ever dropped; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -42,7 +45,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK = 256
 OUTPUT_SHARDS = 64
-SHARD_DOCS = 20_000
+#: Slots of a source and shard are numbered in runs of so many.
+RUN = 1 << 16
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], cap: float = CAP) -> list[float]:
@@ -156,12 +160,11 @@ def _slice(words: Column, b: Column, block: int) -> Column:
     return F.struct(b.alias("block"), lo.alias("lo"), n.alias("n"), text.alias("text"))
 
 
-def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK, shards: int = OUTPUT_SHARDS, seed: int = 7, into: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(report, mixed) of ``sized`` rows.
+def mixed_corpus(rows: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK, shards: int = OUTPUT_SHARDS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(placed, mixed) of ``sized`` rows.
 
-    report: the rows with source_size, target and taken.  mixed, the mixed corpus: shard, source number and source, slot,
-    block, n_words, the text and its pieces (_shard, _row, doc_id, n: so many words of that row).  It is written to the
-    folder ``into``, or else as a working table.
+    placed: the rows with source_size, target and their place in their source's stream.  mixed, the mixed corpus: shard, source
+    number and source, slot, block, n_words, the text and its pieces (_shard, _row, doc_id, n: so many words of that row).
     """
     spark, texts = rows.sparkSession, rows.select("_h", "_h2", "text")
     rows = materialize(rows.drop("text"), "mixing-sizes")
@@ -172,11 +175,10 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK,
     plans = [plan_source(i, sizes[i], want[i], block, seed) for i in range(len(order))]
     counts = draw_counts([p.slots for p in plans], shards, seed)
     begin = np.cumsum(counts, axis=0) - counts
-    salts = max([1, *(-(-r["n"] // SHARD_DOCS) for r in order)])
 
-    info = spark.createDataFrame([(r["source"], p.index, p.size, float(p.target)) for r, p in zip(order, plans, strict=True)], "source string, _s int, source_size long, target double")
+    info = spark.createDataFrame([(r["source"], p.index, p.size, float(p.target), 1 + isqrt(r["n"])) for r, p in zip(order, plans, strict=True)], "source string, _s int, source_size long, target double, _shards long")
     known = rows.join(F.broadcast(info), rows["source"].eqNullSafe(info["source"])).drop(info["source"])
-    dealt = known.withColumn("_shard", F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(salts)).cast("int"))
+    dealt = known.withColumn("_shard", F.pmod(F.xxhash64("_h", F.lit(seed)), F.col("_shards")).cast("int"))
     inner = Window.partitionBy("_s", "_shard").orderBy("_h", "doc_id", "size")
     placed = dealt.withColumns({"_end": F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)), "_row": F.row_number().over(inner)})
     shard_sums = dealt.groupBy("_s", "_shard").agg(F.sum("size").alias("_sum"))
@@ -186,7 +188,8 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK,
 
     dealt_slots = [(k, p.index, int(begin[k, p.index]), int(counts[k, p.index]), p.blocks, p.slots, p.trim) for k in range(shards) for p in plans if counts[k, p.index]]
     drawn = spark.createDataFrame(dealt_slots, "shard int, _s int, first long, n long, blocks long, slots long, trim long")
-    numbered = drawn.select("shard", "_s", "blocks", "slots", "trim", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
+    runs = drawn.select("shard", "_s", "blocks", "slots", "trim", (F.col("first") + F.col("n")).alias("stop"), F.explode(F.expr(f"sequence(first, first + n - 1, {RUN}L)")).alias("run"))
+    numbered = runs.repartition("shard", "_s", "run").select("shard", "_s", "blocks", "slots", "trim", F.explode(F.expr(f"sequence(run, least(run + {RUN}L, stop) - 1)")).alias("slot"))
     length = "CASE WHEN slot = slots - 1 THEN trim ELSE 0 END AS trimmed"
 
     def blocks_of(frames):
@@ -207,11 +210,13 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK,
     n_words = stop - F.col("_block") * block
     text = F.when(F.col("trimmed") > 0, F.array_join(F.slice(F.split(whole, " "), 1, n_words.cast("int")), " ")).otherwise(whole)
     mixed = joined.select("shard", "_s", "source", "slot", F.col("_block").alias("block"), n_words.alias("n_words"), text.alias("text"), F.filter(given, lambda x: x["n"] > 0).alias("pieces"))
-    if into:
-        mixed.write.parquet(into)
-        mixed = spark.read.schema(mixed.schema).parquet(into)
-    else:
-        mixed = materialize(mixed, "mixed-blocks")
+    return placed, mixed
+
+
+def mix(rows: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(report, mixed): the rows with source_size, target and taken, which is counted over the mixed corpus, and that, written as a working table."""
+    placed, mixed = mixed_corpus(rows, **options)
+    mixed = materialize(mixed, "mixed-blocks")
     used = mixed.select("_s", F.explode("pieces").alias("_p")).groupBy("_s", "_p._shard", "_p._row").agg(F.sum("_p.n").alias("taken"))
     report = placed.join(used, ["_s", "_shard", "_row"], "left")
     return report.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), mixed
@@ -219,3 +224,9 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, block: int = BLOCK,
 
 def mixing_report(docs: DataFrame, **options) -> DataFrame:
     return mix(sized(docs), **options)[0]
+
+
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mixed corpus of documents: shard, slot, source, block, n_words, text, and doc_ids, the documents that the words come from, in order."""
+    mixed = mixed_corpus(sized(docs), **options)[1]
+    return mixed.select("shard", "slot", "source", "block", "n_words", "text", F.transform("pieces", lambda p: p["doc_id"]).alias("doc_ids"))
