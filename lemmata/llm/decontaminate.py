@@ -2,14 +2,21 @@
 
 Documents and benchmark items are lower-cased words and their five-word shingles, as
 64-bit hashes.  A window of w shingles can be 0.8 similar to an item of m only if at least
-0.8 * (w + m) / 1.8 of its positions hold a shingle of the item.  All item-sized windows
-that reach this count are taken, from a sliding count over the shared positions, so
-windows are left out without loss, in whatever order the item's parts stand.  Each window and each item has a SimHash fingerprint of 64 bits over its
-weighted shingles (weight: how often a shingle occurs).  Fingerprints are cut into
-``BLOCKS`` blocks; within ``RADIUS`` bits some block differs in at most RADIUS div BLOCKS
-bits (pigeonhole), so items are listed under every value of every block within that many
-bits, and an equality join on (item, block, value) finds all windows within the radius.
-These are verified by exact weighted Jaccard similarity of the shingles.
+0.8 * (w + m) / 1.8 of its positions hold a shingle of the item.  So for each size m that
+an item has, all windows of m shingles are taken in which so many positions hold a shingle
+of any item of that size, from a sliding count: windows are left out without loss, in
+whatever order the item's parts stand.  Which item a window may hold is found by
+fingerprints alone.  Each window and each item has a SimHash of 64 bits over its weighted
+shingles (weight: how often a shingle occurs).  Fingerprints are cut into ``BLOCKS``
+blocks; within ``RADIUS`` bits some block differs in at most RADIUS div BLOCKS bits
+(pigeonhole), so items are listed under every value of every block within that many bits,
+and an equality join on (size, block, value) finds all pairs of a window and an item of
+its size within the radius.  These are verified by exact weighted Jaccard similarity.
+
+The radius prunes: fingerprints of unrelated texts differ in 32 of 64 bits, give or take
+4, so one pair in 30,000 is within 16.  At a similarity of 0.8, the least one asked for, a
+bit differs with probability 0.15, so two windows in a hundred are beyond 16 bits; at 0.9
+it is one in 4,000.  Windows one word to the left or right are tried as well.
 
 Benchmark shingles are broadcast if at most ``BROADCAST_ROWS`` of them are counted, else
 the join shuffles; the same holds for the documents that take part.
@@ -17,7 +24,8 @@ the join shuffles; the same holds for the documents that take part.
 Nulls and edges: null texts have no shingles; an item of fewer than five words counts as
 one shingle of its own length, and one without words is never found; rows of equal
 doc_id and text are one document; a document shorter than an item is one window; an
-empty benchmark or table gives an empty result.
+empty benchmark or table gives an empty result.  Other columns are passed through by
+``remove_leaking``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +35,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of, word_array
+from .common import materialize, spare, text_of, word_array
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 24
+RADIUS = 16
 BLOCKS = 9
 BROADCAST_ROWS = 200_000
 
@@ -107,7 +115,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     n_wanted, widths = wanted.count(), [r["width"] for r in wanted.select("width").distinct().collect()]
     small = n_wanted <= BROADCAST_ROWS
     sized = wanted.groupBy("item_id", "width").agg(F.count("*").alias("m"))
-    sought = wanted.select("item_id", "width", "h").distinct().join(sized, ["item_id", "width"])
+    sought = wanted.select("item_id", "width", "h").join(sized, ["item_id", "width"]).select("width", "m", "h").distinct()
     identity = [F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("_text")]
 
     hits = None
@@ -116,15 +124,16 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         # The outer form: for the plain one the optimiser adds a test of the array's size below the projection, which computes it once per element.
         at = listed.select("doc_id", "_text", F.size("_all").alias("_n"), F.posexplode_outer("_all").alias("_pos", "h")).where("h IS NOT NULL")
         of_width = sought.where(F.col("width") == width).drop("width")
-        found = at.join(F.broadcast(of_width) if small else of_width, "h").select("doc_id", "_text", "item_id", "m", F.lit(width).alias("width"), "_n", "_pos")
+        found = at.join(F.broadcast(of_width) if small else of_width, "h").select("doc_id", "_text", "m", F.lit(width).alias("width"), "_n", "_pos")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return docs.select(*identity).limit(0).crossJoin(items.select("item_id").limit(0)).selectExpr("doc_id", "_text", "item_id", "0 as start", "0 as hamming", "0.0D as similarity")
-    shared_at = hits.groupBy("doc_id", "_text", "item_id", "m", "width", "_n").agg(F.array_sort(F.collect_set("_pos")).alias("_p"))
-    starts = shared_at.select("doc_id", "_text", "item_id", "m", "width", window_starts(threshold).alias("starts"))
+        none = items.select("item_id").where("false").withColumns({"start": F.lit(0), "hamming": F.lit(0), "similarity": F.lit(0.0)})
+        return docs.select(*identity).where("false").join(none, F.col("_text") == F.col("start")).select("doc_id", "_text", "item_id", "start", "hamming", "similarity")
+    shared_at = hits.groupBy("doc_id", "_text", "m", "width", "_n").agg(F.array_sort(F.collect_set("_pos")).alias("_p"))
+    starts = shared_at.select("doc_id", "_text", "m", "width", window_starts(threshold).alias("starts"))
     starts = materialize(starts.where(F.size("starts") > 0), "window-starts")
 
-    asked = starts.groupBy("doc_id", "_text").agg(F.collect_list(F.struct("item_id", "m", "width", "starts")).alias("_asked"))
+    asked = starts.groupBy("doc_id", "_text").agg(F.collect_list(F.struct("m", "width", "starts")).alias("_asked"))
     side = F.broadcast(asked) if starts.count() <= BROADCAST_ROWS else asked.hint("shuffle_hash")
     own = docs.withColumn("_text", F.xxhash64(text_of(text))).select(F.col(doc_id).alias("_id"), F.col("_text").alias("_t"), F.col(text).alias("text"))
     part = own.join(side, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("_text")))
@@ -132,23 +141,24 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     windows = None
     for width in sorted(widths):
         rows = worded.select("doc_id", "_text", shingles(width).alias("_all"), F.explode(F.expr(f"filter(_asked, a -> a.width = {width})")).alias("_a"))
-        spread = rows.select("doc_id", "_text", "_all", "_a", F.explode("_a.starts").alias("start")).select("doc_id", "_text", F.col("_a.item_id").alias("item_id"), F.col("_a.m").alias("m"), "start", "_all")
-        each = spread.select("doc_id", "_text", "item_id", "m", "start", F.explode_outer(F.expr("slice(_all, start + 1, m)")).alias("h")).where("h IS NOT NULL")
+        spread = rows.select("doc_id", "_text", "_all", "_a", F.explode("_a.starts").alias("start")).select("doc_id", "_text", F.lit(width).alias("width"), F.col("_a.m").alias("m"), "start", "_all")
+        each = spread.select("doc_id", "_text", "width", "m", "start", F.explode_outer(F.expr("slice(_all, start + 1, m)")).alias("h")).where("h IS NOT NULL")
         windows = each if windows is None else windows.unionByName(each)
-    weighed = materialize(windows.groupBy("doc_id", "_text", "item_id", "m", "start", "h").agg(F.count("*").alias("w")), "window-shingles")
-    window_prints = weighed.groupBy("doc_id", "_text", "item_id", "start").agg(simhash("h", "w").alias("print"))
+    weighed = materialize(windows.groupBy("doc_id", "_text", "width", "m", "start", "h").agg(F.count("*").alias("w")), "window-shingles")
+    window = ["doc_id", "_text", "width", "m", "start"]
+    window_prints = weighed.groupBy(*window).agg(simhash("h", "w").alias("print"), F.sum("w").alias("all_w"))
     item_weights = wanted.groupBy("item_id", "h").agg(F.count("*").alias("item_w"))
-    item_prints = item_weights.groupBy("item_id").agg(simhash("h", "item_w").alias("item_print"))
-    index = item_prints.select("item_id", "item_print", F.explode(_near_values(F.col("item_print"))).alias("_b")).select("item_id", "item_print", "_b.block", "_b.value")
-    probes = window_prints.select("doc_id", "_text", "item_id", "start", "print", F.explode(_block_values(F.col("print"))).alias("_b")).select("doc_id", "_text", "item_id", "start", "print", "_b.block", "_b.value")
+    item_prints = item_weights.join(sized, "item_id").groupBy("item_id", "width", "m").agg(simhash("h", "item_w").alias("item_print"))
+    index = item_prints.select("item_id", "width", "m", "item_print", F.explode(_near_values(F.col("item_print"))).alias("_b")).select("item_id", "width", "m", "item_print", "_b.block", "_b.value")
+    probes = window_prints.select(*window, "print", "all_w", F.explode(_block_values(F.col("print"))).alias("_b")).select(*window, "print", "all_w", "_b.block", "_b.value")
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = probes.join(index, ["item_id", "block", "value"]).withColumn("hamming", distance).where(F.col("hamming") <= RADIUS).select("doc_id", "_text", "item_id", "start", "hamming").distinct()
+    near = probes.join(index, ["width", "m", "block", "value"]).withColumn("hamming", distance).where(F.col("hamming") <= RADIUS).select(*window, "all_w", "item_id", "hamming").distinct()
     # Exact check: sum of minima over sum of maxima of the weights.
-    shared = weighed.join(item_weights, ["item_id", "h"], "left").groupBy("doc_id", "_text", "item_id", "m", "start").agg(F.sum(F.least("w", F.coalesce("item_w", F.lit(0)))).alias("both"), F.sum("w").alias("all_w"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "_text", "item_id", "start")]
-    checked = near.alias("a").join(shared.alias("b"), same[0] & same[1] & same[2] & same[3]).select("a.*", "b.m", "b.both", "b.all_w")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._text") == F.col("b._text")) & (F.col("a.width") == F.col("b.width")) & (F.col("a.m") == F.col("b.m")) & (F.col("a.start") == F.col("b.start"))
+    told = near.alias("a").join(weighed.alias("b"), same).select("a.*", "b.h", "b.w")
+    both = told.join(item_weights, ["item_id", "h"]).groupBy(*window, "all_w", "item_id", "hamming").agg(F.sum(F.least("w", "item_w")).alias("both"))
     similarity = (F.col("both") / (F.col("all_w") + F.col("m") - F.col("both"))).alias("similarity")
-    return checked.select("doc_id", "_text", "item_id", "start", "hamming", similarity).where(F.col("similarity") >= threshold)
+    return both.select("doc_id", "_text", "item_id", "start", "hamming", similarity).where(F.col("similarity") >= threshold)
 
 
 def leak_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -159,6 +169,7 @@ def leak_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def remove_leaking(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows in which an item was found."""
-    bad = leaks(docs, items, **options).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t")).distinct()
-    own = docs.withColumn("_own", F.xxhash64(text_of("text")))
-    return own.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_t")), "left_anti").drop("_own")
+    own_, id_, text_ = spare(docs, "_own", "_id", "_t")
+    bad = leaks(docs.select("doc_id", "text"), items, **options).select(F.col("doc_id").alias(id_), F.col("_text").alias(text_)).distinct()
+    own = docs.withColumn(own_, F.xxhash64(text_of("text")))
+    return own.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own_) == F.col(text_)), "left_anti").drop(own_)
