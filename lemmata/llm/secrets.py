@@ -2,9 +2,11 @@
 
 Spans come from ``split`` and ``regexp_extract_all`` over the same pattern: the pieces
 between matches and the matches themselves give every start by running lengths, in code
-points.  Every candidate value is hashed; over the whole corpus the hashes are counted by
-distinct owners and repositories (partial aggregation before each shuffle, so a value in
-a third of all rows is no hot key).  A value of at most ``MAX_OWNERS`` owners and at most
+points, summed within runs of ``RUN`` matches and then over the runs, so the time goes
+with the number of matches.  Every candidate value is hashed; over the whole corpus the hashes are counted by
+distinct owners and repositories (partial aggregation before each shuffle, and values of
+many rows are looked up in a broadcast table, so a value in a third of all rows is no hot
+key).  A value of at most ``MAX_OWNERS`` owners and at most
 ``MAX_REPOS`` repositories is owner-specific and live-looking; one that more owners or
 more repositories hold is a widely copied example.
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import join_spread, materialize, text_of
 
 #: Fixed patterns of the base kinds, in the order in which ties are listed.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -33,6 +35,7 @@ KINDS = ("assign", "access", "hex", "bare")
 MAX_OWNERS = 2
 MAX_REPOS = 10
 BARE_ALONE = 32
+RUN = 128
 
 SPAN = "struct<start:int,kind:int,stop:int,value:string>"
 
@@ -41,11 +44,13 @@ def _spans(text: Column, pattern: str, kind: int, value_group: int = 0, least: i
     """Spans of all matches whose value has ``least`` characters or more; the empty array where there are none."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    placed = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("spans")),
-        lambda acc, x: _step(acc, x, kind, pattern, value_group),
-    )["spans"]
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    begin = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    each = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
+    # The array of one element binds what is zipped, so that it is made once a text and not once a run.
+    runs = F.flatten(F.transform(F.array(each), lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(z, k * RUN + 1, RUN), begin, lambda acc, x: _step(acc, x, kind, pattern, value_group)))))
+    moved = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array(none).alias("spans")), _shift)["spans"]
+    placed = F.flatten(moved)
     if least:
         placed = F.filter(placed, lambda s: F.char_length(s["value"]) >= least)
     return F.when(text.rlike(pattern), placed).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
@@ -59,6 +64,11 @@ def _step(acc: Column, x: Column, kind: int, pattern: str, group: int) -> Column
     return F.struct(stop.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
 
 
+def _shift(acc: Column, run: Column) -> Column:
+    moved = F.transform(run["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["kind"].alias("kind"), (s["stop"] + acc["at"]).alias("stop"), s["value"].alias("value")))
+    return F.struct((acc["at"] + run["at"]).alias("at"), F.array_append(acc["spans"], moved).alias("spans"))
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of each, by start, then kind."""
     names = F.array(*(F.lit(k) for k in KINDS))
@@ -74,10 +84,10 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(h, n_owners, n_repos, in_base) of rows (h, owner, repo, kind)."""
-    pairs = candidates.groupBy("h", "owner", "repo").agg(F.max(F.col("kind") < 3).alias("in_base"))
-    owners = pairs.groupBy("h", "owner").agg(F.count("*").alias("repos"), F.max("in_base").alias("in_base"))
-    return owners.groupBy("h").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.max("in_base").alias("in_base"))
+    """(h, n_owners, n_repos, in_base, times) of rows (h, owner, repo, kind)."""
+    pairs = candidates.groupBy("h", "owner", "repo").agg(F.max(F.col("kind") < 3).alias("in_base"), F.count("*").alias("times"))
+    owners = pairs.groupBy("h", "owner").agg(F.count("*").alias("repos"), F.max("in_base").alias("in_base"), F.sum("times").alias("times"))
+    return owners.groupBy("h").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.max("in_base").alias("in_base"), F.sum("times").alias("times"))
 
 
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id") -> DataFrame:
@@ -90,7 +100,7 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ow
     some = found.where((F.size("base") > 0) | (F.size("bare") > 0))
     spans = some.select("_row", F.coalesce("owner", F.lit("\0")).alias("owner"), F.coalesce("repo", F.lit("\0")).alias("repo"), F.explode(F.concat("base", "bare")).alias("s"))
     keyed = spans.select("_row", "owner", "repo", F.col("s.kind").alias("kind"), "s", F.sha2("s.value", 256).alias("h"))
-    judged = keyed.join(ownership(keyed), "h")
+    judged = join_spread(keyed, materialize(ownership(keyed), "secret-owners"), ["h"], "times", F.col("_row"))
     live = (F.col("n_owners") <= MAX_OWNERS) & (F.col("n_repos") <= MAX_REPOS)
     added = (F.col("kind") == 3) & live & (F.col("in_base") | (F.char_length("s.value") >= BARE_ALONE))
     per_row = judged.groupBy("_row").agg(
