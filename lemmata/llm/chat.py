@@ -8,12 +8,16 @@ or else each of its lines, links to the latest earlier message of its conversati
 holds it unquoted.  A message replies to the message that its outermost quotes link to
 most often (the latest of equals), or else to the message before it.  Roots and depths
 follow by pointer doubling over (conversation, turn), so a conversation of any length
-takes a logarithmic number of joins and is never gathered in one task.
+takes a logarithmic number of joins.  The latest earlier message (of all, or of those that
+hold a passage) is found within stretches of ``STRETCH`` turns by a running maximum, and
+before a stretch by one over the maxima of the stretches, so neither a conversation nor a
+passage that its messages repeat is gathered in one task, and no pairs of messages are made.
 
 Nulls and edges: a null text is empty and quotes nothing; messages with a null
 conversation or turn are kept, unlinked, as their own roots; rows of equal conversation and turn are kept
 and share one reply target; quotes without a letter or digit are not
-linked; an unmatched quote is dropped from the text all the same and counted.
+linked; an unmatched quote is dropped from the text all the same and counted; columns but
+conv_id, turn, role and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize, text_of
 
 MARK = r"^(\s{0,3}>)+ ?"
+STRETCH = 4096
 
 
 def normalised(c: Column) -> Column:
@@ -55,8 +60,11 @@ def link_conversations(conversations: DataFrame) -> DataFrame:
     own = runs.where("level = 0").select("conv_id", "turn", "row", "run", "passage").unionByName(plain.withColumn("run", F.col("run").cast("long")))
     pieces = own.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(F.array("passage"), F.split("passage", "\n", -1)))).alias("_p"))
     held = pieces.select("conv_id", "turn", normalised(F.col("_p")).alias("_n")).where("_n != ''").select("conv_id", F.col("turn").alias("origin"), F.xxhash64("_n").alias("h"))
-    wanted = held.join(asked.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi").distinct()
-    matched = asked.join(wanted, ["conv_id", "h"]).where(F.col("origin") < F.col("turn")).groupBy("row", "run", "level", "part", "h").agg(F.max("origin").alias("origin"))
+    questions = asked.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "h", "turn").distinct()
+    wanted = held.join(questions.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi").distinct()
+    both = questions.withColumn("origin", F.lit(None).cast(questions.schema["turn"].dataType)).unionByName(wanted.select("conv_id", "h", F.col("origin").alias("turn"), "origin"))
+    answers = latest_before(both, ["conv_id", "h"], "turn", "origin").where("origin IS NULL AND before IS NOT NULL").select("conv_id", "h", "turn", F.col("before").alias("origin"))
+    matched = asked.join(answers, ["conv_id", "h", "turn"]).select("row", "run", "level", "part", "h", "origin").distinct()
     whole_hit = matched.groupBy("row", "run", "level").agg(F.min("part").alias("best"))
     chosen = matched.join(whole_hit, ["row", "run", "level"]).where(F.col("part") == F.col("best"))
     votes = chosen.groupBy("row", "level", "origin").agg(F.count("*").alias("votes"))
@@ -66,7 +74,7 @@ def link_conversations(conversations: DataFrame) -> DataFrame:
     unquoted = runs.where("level = 0").groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "passage"))), lambda x: x["passage"]), "\n").alias("_body"))
 
     turns = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct()
-    previous = turns.withColumn("before", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
+    previous = latest_before(turns.withColumn("_at", F.col("turn")), ["conv_id"], "turn", "_at").drop("_at")
     told = messages.join(outer, "row").where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.max("quoted").alias("quoted"))
     parents = previous.join(told, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("quoted", "before").alias("parent"))
     roots = _follow(materialize(parents, "reply-parents"))
@@ -77,6 +85,16 @@ def link_conversations(conversations: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", "role", body.alias("body"), F.col("parent").alias("reply_to"), F.coalesce("root", "turn").alias("root"), zero("depth").alias("depth"), zero("n_quotes").alias("n_quotes"), zero("n_linked").alias("n_linked"), zero("levels").alias("quoted_levels"))
 
 
+def latest_before(rows: DataFrame, keys: list[str], turn: str, value: str) -> DataFrame:
+    """``rows`` with before, the largest ``value`` of rows with equal keys and a smaller ``turn``; ``value`` is null or the row's turn."""
+    cut = rows.withColumn("_stretch", F.floor(F.col(turn) / STRETCH))
+    inner = Window.partitionBy(*keys, "_stretch").orderBy(turn).rangeBetween(Window.unboundedPreceding, -1)
+    tops = cut.groupBy(*keys, "_stretch").agg(F.max(value).alias("_top"))
+    above = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.withColumn("_carried", F.max("_top").over(above)).drop("_top")
+    return cut.withColumn("_own", F.max(value).over(inner)).join(carried, [*keys, "_stretch"], "left").withColumn("before", F.coalesce("_own", "_carried")).drop("_own", "_carried", "_stretch")
+
+
 def _follow(parents: DataFrame) -> DataFrame:
     """(conv_id, turn, parent, root, depth) of rows (conv_id, turn, parent), by pointer doubling.
 
