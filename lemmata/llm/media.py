@@ -4,29 +4,36 @@
 references with their place, digest and caption.  ``store`` keeps payloads as lossless
 8-bit greyscale PNG images of 64 samples a row, one per digest.  ``read_features`` decodes
 the stored bytes and describes them.  ``resolve`` joins references to the stored media on
-the digest; only descriptions travel with the references, never payloads, so a digest
-that a third of all references name doesn't multiply its bytes.  Positions and captions
-stay with their reference.
+the digest; only descriptions travel with the references, never payloads, and a digest
+that many references name is looked up in a broadcast table, so that it neither multiplies
+its bytes nor meets in one task.  Positions and captions stay with their reference.  Media
+named by another address than ``sha256:`` get their digest from a table of what was
+fetched (``fetched``: src, digest).
 
 Nulls and edges: null HTML gives an empty sequence, a null payload counts as empty; an
 empty payload is padded to 64 zero bytes; a reference without stored media stays, with
 ``found`` false; unknown tags are dropped and their text stays; an unclosed tag ends with
-the page.  Other columns of the pages are passed through.
+the page, and of an unclosed script or style only the tag is dropped; a caption that isn't
+closed ends with its figure or the page.  Other columns of the pages are passed through;
+where one has the name of a result, the result's name gets a trailing underscore.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SEQUENCE = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
+from .common import join_spread, materialize, spare, text_of
+
+SEQUENCE = "array<struct<position:int,kind:string,text:string,src:string,digest:string,caption:string>>"
 WIDTH = 64
 SCHEME = "sha256:"
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -82,10 +89,21 @@ def describe(payload: bytes) -> str:
     return f"mean={samples.mean():.4f};std={samples.std():.4f};entropy={entropy:.4f};dhash={int(np.packbits(bits).tobytes().hex(), 16):016x}"
 
 
+def _without_open_scripts(html: str) -> str:
+    """``html`` without the opening tags of scripts and styles that are never closed."""
+    for tag in ("script", "style"):
+        last = html.lower().rfind(f"</{tag}")
+        head, tail = (html[:last], html[last:]) if last >= 0 else ("", html)
+        if f"<{tag}" in tail.lower():
+            html = head + re.sub(rf"<{tag}\b[^>]*>", " ", tail, flags=re.IGNORECASE)
+    return html
+
+
 def parse(html: str | None) -> list[dict]:
     """The ordered parts of a page; a figure's caption goes with the media in it, else the alternative text does."""
     from html.parser import HTMLParser
 
+    html = _without_open_scripts(html or "")
     out: list[dict] = []
     figure: list[int] = []
     state = {"skip": 0, "caption": None}
@@ -101,17 +119,15 @@ def parse(html: str | None) -> list[dict]:
                 state["caption"] = []
             elif tag in ("img", "audio", "video", "source") and (a.get("src") or ""):
                 src = a["src"]
-                out.append({"position": 0, "kind": "media", "text": None, "digest": src.removeprefix(SCHEME) if src.startswith(SCHEME) else hashlib.sha256(src.encode()).hexdigest(), "caption": a.get("alt")})
+                out.append({"position": 0, "kind": "media", "text": None, "src": src, "digest": src.removeprefix(SCHEME) if src.startswith(SCHEME) else None, "caption": a.get("alt")})
 
         def handle_endtag(self, tag):
             if tag in ("script", "style"):
                 state["skip"] = max(0, state["skip"] - 1)
-            elif tag == "figcaption" and state["caption"] is not None:
-                said, state["caption"] = " ".join(" ".join(state["caption"]).split()), None
-                for part in out[figure[-1] if figure else len(out) :]:
-                    if part["kind"] == "media":
-                        part["caption"] = said
+            elif tag == "figcaption":
+                end_caption()
             elif tag == "figure" and figure:
+                end_caption()
                 figure.pop()
 
         def handle_data(self, data):
@@ -122,11 +138,19 @@ def parse(html: str | None) -> list[dict]:
             elif out and out[-1]["kind"] == "text":
                 out[-1]["text"] += " " + " ".join(data.split())
             else:
-                out.append({"position": 0, "kind": "text", "text": " ".join(data.split()), "digest": None, "caption": None})
+                out.append({"position": 0, "kind": "text", "text": " ".join(data.split()), "src": None, "digest": None, "caption": None})
+
+    def end_caption():
+        if state["caption"] is not None:
+            said, state["caption"] = " ".join(" ".join(state["caption"]).split()), None
+            for part in out[figure[-1] if figure else len(out) :]:
+                if part["kind"] == "media":
+                    part["caption"] = said
 
     reader = Reader(convert_charrefs=True)
-    reader.feed(html or "")
+    reader.feed(html)
     reader.close()
+    end_caption()
     for i, part in enumerate(out):
         part["position"] = i
     return out
@@ -136,7 +160,7 @@ def interleave(pages: DataFrame, html: str = "html", out: str = "sequence") -> D
     """``pages`` with the array of ordered parts instead of the HTML."""
     own = [c for c in pages.columns if c != html]
     schema = T.StructType([*(pages.schema[c] for c in own), T.StructField(out, T._parse_datatype_string(SEQUENCE))])
-    kind = pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "digest", "caption"))]))
+    kind = pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "src", "digest", "caption"))]))
 
     def run(batches):
         for b in batches:
@@ -183,16 +207,36 @@ def read_features(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, FEATURES)
 
 
-def resolve(sequences: DataFrame, features: DataFrame, sequence: str = "sequence") -> DataFrame:
-    """A row for each media reference: the columns of its page, position, caption, digest, what is stored under it, and found."""
+REFERENCE = ("position", "caption", "src", "digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "found")
+
+
+def resolve(sequences: DataFrame, features: DataFrame, sequence: str = "sequence", fetched: DataFrame | None = None) -> DataFrame:
+    """A row for each media reference: the columns of its page, then REFERENCE: what it says, what is stored under its digest, and found."""
     own = [c for c in sequences.columns if c != sequence]
-    refs = sequences.select(*own, F.explode(F.expr(f"filter({sequence}, x -> x.kind = 'media')")).alias("_r")).select(*own, F.col("_r.position").alias("position"), F.col("_r.caption").alias("caption"), F.col("_r.digest").alias("digest"))
-    return refs.join(features.withColumn("found", F.lit(True)), "digest", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    names = dict(zip(REFERENCE, spare(sequences.select(*own), *REFERENCE), strict=True))
+    refs = sequences.select(F.struct(*own).alias("page"), F.explode(F.expr(f"filter(`{sequence}`, x -> x.kind = 'media')")).alias("_r")).select("page", "_r.position", "_r.caption", "_r.src", "_r.digest")
+    refs = materialize(refs, "media-references")
+    if fetched is not None:
+        asked = refs.groupBy("src").agg(F.count("*").alias("times")).join(fetched.select("src", F.col("digest").alias("known")).dropDuplicates(["src"]), "src")
+        refs = join_spread(refs, materialize(asked, "media-fetched"), ["src"], "times", F.xxhash64("page", "position")).withColumn("digest", F.coalesce("digest", "known")).drop("known")
+    times = refs.groupBy("digest").agg(F.count("*").alias("times"))
+    known = materialize(features.withColumn("found", F.lit(True)).join(times, "digest"), "media-known")
+    joined = join_spread(refs, known, ["digest"], "times", F.xxhash64("page", "position")).withColumn("found", F.coalesce("found", F.lit(False)))
+    return joined.select("page.*", *(F.col(c).alias(names[c]) for c in REFERENCE))
+
+
+def page_of(text: Column) -> Column:
+    """A page that shows a text line by line, its own bytes as a figure behind the first line, which is the caption."""
+    safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    first, lines = F.substring_index(safe, "\n", 1), F.split(safe, "\n", -1)
+    figure = F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.sha2(text.cast("binary"), 256), F.lit('"><figcaption>'), first, F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<h1>"), first, F.lit("</h1>"), figure, F.lit("<p>"), F.array_join(F.slice(lines, 2, F.greatest(F.lit(0), F.size(lines) - 1)), "</p><p>"), F.lit("</p>"))
 
 
 def document_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document as a page that refers to its own bytes, resolved against the stored media."""
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    pages = docs.select(F.col(doc_id).alias("doc_id"), F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.sha2(raw, 256), F.lit('"><figcaption>document</figcaption></figure>')).alias("html"))
-    features = read_features(store(docs.select(raw.alias("payload"))))
-    return resolve(interleave(pages), features).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "digest")
+    """Each document as a page of its text and its own bytes, resolved against the stored media; n_parts counts the page's parts."""
+    whole = text_of(text)
+    pages = docs.select(F.col(doc_id).alias("doc_id"), page_of(whole).alias("html"))
+    features = read_features(store(docs.select(whole.cast("binary").alias("payload"))))
+    parts = interleave(pages).withColumn("n_parts", F.size("sequence"))
+    return resolve(parts, features).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_parts", "position", "caption", "digest")
