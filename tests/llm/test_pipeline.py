@@ -1,7 +1,10 @@
 """The pipeline's stages against their contracts, each on its own input."""
 
+import hashlib
+from collections import defaultdict
+
 import corpus_pipeline
-from lemmata.llm import langid, neardup
+from lemmata.llm import langid, mixing, neardup
 
 from . import brute
 
@@ -10,31 +13,39 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     columns, seen = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES:
-        before = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        before = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
         out = corpus_pipeline.materialize(stage(spark, docs, SMALL), name)
-        seen[name] = (before, out)
-        docs = out
+        seen[name] = (before, out.collect())
         if name != "source_mix":
             assert out.columns == columns
-    before, out = seen["language_id"]
-    kept = {r["doc_id"] for r in langid.language_report(spark.createDataFrame(spark.read.parquet(f"{SMALL}/documents.parquet").collect())).where("not rejected").collect()}
-    assert {r["doc_id"] for r in out.collect()} == kept and len(kept) > 0.9 * len(before)
-    before, out = seen["line_dedup"]
-    assert sorted((i, n) for i, n, _, _ in brute.lines(before)) == sorted((i, len((t or "").split("\n"))) for i, t in before)
-    assert len(out.collect()) == len(before)
-    before, out = seen["near_dedup"]
-    assert {r["doc_id"] for r in out.collect()} == {r[0] for r in brute.near_duplicates(before) if r[3]}
+        docs = out
+    texts = lambda name: [r[:2] for r in seen[name][0]]
+    _, out = seen["language_id"]
+    fitted = langid.fit_dictionaries(spark.read.parquet(f"{SMALL}/documents.parquet").where("NOT coalesce(crc32(cast(doc_id AS string)) % 5 = 0, false)"))
+    told = {i: brute.language(t, fitted) for i, t in texts("language_id")}
+    assert {r["doc_id"] for r in out} == {i for i, (k, margin) in told.items() if k != "und" and margin >= langid.MIN_MARGIN} and len(out) > 0.9 * len(told)
+    _, out = seen["line_dedup"]
+    kept = {i: sha for i, _, _, sha in brute.lines(texts("line_dedup"))}
+    assert {r["doc_id"]: hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in out} == kept and all(r["n_chars"] == len(r["text"]) for r in out if r["text"])
+    _, out = seen["near_dedup"]
+    assert {r["doc_id"] for r in out} == {r[0] for r in brute.near_duplicates(texts("near_dedup"), 80) if r[3] or not r[1]}
+    before, out = seen["decontamination"]
+    bad = {i for i, _ in brute.leaks(texts("decontamination"), items)}
+    assert bad and {r["doc_id"] for r in out} == {i for i, _, _ in before} - bad
     before, out = seen["source_mix"]
-    assert {r["doc_id"] for r in out.collect()} == {i for i, _ in before}
-
-
-def test_last_stage_writes_the_mixed_corpus(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    report = corpus_pipeline.materialize(corpus_pipeline.mix_sources(spark, docs, SMALL), "mix-report").collect()
-    blocks = spark.read.parquet(report[0]["mixed_in"]).collect()
-    assert sum(r["taken"] for r in report) == sum(b["n_words"] for b in blocks) == sum(len(b["text"].split(" ")) for b in blocks) > 0
+    size, words = defaultdict(int), {i: brute.WORD.findall(t or "") for i, t, _ in before}
+    for i, _, s in before:
+        size[s] += len(words[i])
+    order = sorted(size, key=lambda s: (s is None, s))
+    want = mixing.targets([size[s] for s in order], [mixing.WEIGHTS[k % 3] for k in range(len(order))])
+    got = defaultdict(int)
+    for r in out:
+        got[r["source"]] += r["n_words"]
+        assert len(r["text"].split(" ")) == r["n_words"] and set(r["text"].split(" ")) <= {w for i in r["doc_ids"] for w in words[i]}
+    assert all(abs(got[s] - w) <= 1 for s, w in zip(order, want, strict=True))
 
 
 def test_near_dedup_takes_four_fifths(spark):
