@@ -2,18 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as
 Parquet in the shared folder and read again as the next stage's docs.  All stages but
-the last return the columns of documents; the last writes the mixed corpus as well.
+the last return the columns of documents; the last returns the mixed corpus, with its text.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmata.llm import decontaminate, langid, linededup, mixing, neardup
-from lemmata.llm.common import materialize, shared_dir, table
+from lemmata.llm.common import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +35,8 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the mixed corpus to a folder of its own and returns how many words it took of each document: doc_id, source, size, source_size, target, taken and mixed_in, the folder."""
-    folder = f"{shared_dir(spark).rstrip('/')}/mixed-corpus-{uuid.uuid4().hex}"
-    report, _ = mixing.mix(mixing.sized(docs), into=folder)
-    return report.withColumn("mixed_in", F.lit(folder))
+    """The mixed corpus, a row for each slot of it: shard, slot, source, block, n_words, text, and doc_ids, the documents whose words it holds."""
+    return mixing.mixed_texts(docs)
 
 
 STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines), ("near_dedup", dedup_documents), ("decontamination", remove_benchmark), ("source_mix", mix_sources)]
