@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.compiler import CTX
-from ..plans.fixpoint import saturate
+from ..plans.fixpoint import Saturation, saturate, saturate_contexts
 from ..plans.terms import Pattern, Rule, Substitution, Term, Triple, match_triple
 from ..sources.triples import SPO, TRIPLE
+from .provenance import measures
 
 CONTRAINDICATES = "contraindicates"
 
@@ -73,21 +74,36 @@ def table_of(spark: SparkSession, asked: Iterable[tuple[Triple, Sequence[Hypothe
 def test_all(hypotheses: DataFrame, rules: Sequence[Rule], base: DataFrame) -> DataFrame:
     """``hypotheses`` with outcome (Survived, NotGround, ExplainsNothing, Contraindicated) and the negative fact of the last.
 
-    One fixpoint: base facts and the hypothesis's atoms, in its context.  The observation must be derived, not given.
+    The base is saturated once; one more fixpoint finds what the atoms of each hypothesis add, in its context.  The observation
+    must be derived, not given.
     """
     ground = hypotheses.where("atoms IS NOT NULL")
     assumed = ground.select(F.col("hyp_id").alias(CTX), F.explode("atoms").alias("t")).select(CTX, "t.*")
-    seed = base.select(*SPO).crossJoin(ground.select(F.col("hyp_id").alias(CTX))).unionByName(assumed)
-    sat = saturate(rules, seed)
-    reached = ground.join(sat.rows.where("rule_id IS NOT NULL").withColumnRenamed(CTX, "hyp_id"), ["hyp_id", *SPO], "left_semi").select("hyp_id", F.lit(True).alias("_reached"))
+    known = saturate(rules, base.select(*SPO))
+    sat = saturate_contexts(known, rules, assumed)
+    own = ground.join(sat.derivations.withColumnRenamed(CTX, "hyp_id"), ["hyp_id", *SPO], "left_semi").select("hyp_id")
+    given = ground.where(F.exists("atoms", lambda t: t == F.struct(*SPO))).select("hyp_id")
+    anyway = ground.join(known.derivations, list(SPO), "left_semi").select("hyp_id").join(given, "hyp_id", "left_anti")
+    reached = own.union(anyway).distinct().withColumn("_reached", F.lit(True))
     touched = assumed.select(CTX, F.col("subject").alias("object")).union(assumed.select(CTX, "object")).distinct()
-    fired = sat.rows.where(F.col("predicate") == CONTRAINDICATES).join(touched, [CTX, "object"], "left_semi").groupBy(F.col(CTX).alias("hyp_id")).agg(F.min(F.struct("round", *SPO)).alias("_n"))
+    against = lambda s: s.rows.where(F.col("predicate") == CONTRAINDICATES)
+    negatives = touched.join(against(sat), [CTX, "object"]).select(CTX, "round", *SPO).union(touched.join(against(known), "object").select(CTX, "round", *SPO))
+    fired = negatives.groupBy(F.col(CTX).alias("hyp_id")).agg(F.min(F.struct("round", *SPO)).alias("_n"))
     out = hypotheses.join(reached, "hyp_id", "left").join(fired, "hyp_id", "left")
     outcome = F.when(F.col("atoms").isNull(), "NotGround").when(F.col("_reached").isNull(), "ExplainsNothing").when(F.col("_n").isNotNull(), "Contraindicated").otherwise("Survived")
     negative = F.when(outcome == "Contraindicated", F.concat_ws(" ", "_n.subject", "_n.predicate", "_n.object"))
     return out.select(*hypotheses.columns, outcome.alias("outcome"), negative.alias("negative"))
 
 
+def build_trace(tested: DataFrame, rules: Sequence[Rule], base: DataFrame) -> DataFrame:
+    """The surviving hypotheses with depth, trace_rule_ids, leaves and proof of their observation under their atoms."""
+    survived = tested.where("outcome = 'Survived'")
+    assumed = survived.select(F.col("hyp_id").alias(CTX), F.explode("atoms").alias("t")).select(CTX, "t.*")
+    sat: Saturation = saturate_contexts(saturate(rules, base.select(*SPO)), rules, assumed)
+    proofs = measures(sat, survived.select(F.col("hyp_id").alias(CTX), *SPO), ("depth", "complete", "trace_rule_ids", "leaves", "proof"))
+    return survived.join(proofs.drop("round").withColumnRenamed(CTX, "hyp_id"), ["hyp_id", *SPO])
+
+
 def rank(survivors: DataFrame, base: DataFrame, priors: DataFrame | None = None, default_prior: float = 0.5, bayesian: bool = False) -> DataFrame:
     """``survivors`` with assumed_count, prior, tiebreak, posterior and place (1 is best) within their observation.
 

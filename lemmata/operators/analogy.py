@@ -3,7 +3,8 @@
 Finding the map is NP-hard, so cases keep to ``max_entities`` entities.  The search is a
 branch and bound over the case's facts that returns what exhaustive search would: most
 facts preserved, then the smallest sorted list of pairs.  Queries are spread over tasks;
-cases are a small shared library whose size is checked.
+a library of up to ``MAX_LIBRARY`` facts is held by every task, and a larger one is joined
+with the queries on the goal's predicate, which a case must hold to be of use.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 EPSILON = 2.220446049250313e-16
 MAX_LIBRARY = 100_000
@@ -98,13 +100,10 @@ def best_case(cases: Mapping[str, Sequence[tuple]], goal: tuple, context: Sequen
 
 
 def analogical_answers(queries: DataFrame, cases: DataFrame, cfg: AnalogyConfig = AnalogyConfig()) -> DataFrame:
-    """Answers to queries (query_id, subject, predicate, object, context array of triples) from cases (case, subject, predicate, object).
-
-    The case library is held by every task, so it must stay below MAX_LIBRARY facts.
-    """
+    """Answers to queries (query_id, subject, predicate, object, context array of triples) from cases (case, subject, predicate, object)."""
     held = cases.select("case", "subject", "predicate", "object").limit(MAX_LIBRARY + 1).collect()
     if len(held) > MAX_LIBRARY:
-        raise ValueError(f"the case library has more than {MAX_LIBRARY} facts")
+        return _from_large_library(queries, cases, cfg)
     library: dict[str, list[tuple]] = {}
     for name, *fact in held:
         library.setdefault(name, []).append(tuple(fact))
@@ -121,3 +120,25 @@ def analogical_answers(queries: DataFrame, cases: DataFrame, cfg: AnalogyConfig
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
     return queries.select("query_id", "subject", "predicate", "object", "context").mapInPandas(run, ANSWER)
+
+
+def _from_large_library(queries: DataFrame, cases: DataFrame, cfg: AnalogyConfig) -> DataFrame:
+    """The same answers where the library is too large to hold: only cases with a fact of the goal's predicate can transfer it, so these meet the query."""
+    fact = F.struct("subject", "predicate", "object")
+    whole = cases.groupBy("case").agg(F.array_sort(F.collect_set(fact)).alias("facts"))
+    keyed = whole.select("case", "facts", F.explode(F.array_distinct(F.transform("facts", lambda f: f["predicate"]))).alias("predicate"))
+    met = queries.select("query_id", "subject", "predicate", "object", "context").join(keyed, "predicate")
+    triples = lambda x: [] if x is None else [(c["subject"], c["predicate"], c["object"]) for c in x]
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for q in f.itertuples(index=False):
+                hit = best_case({q.case: triples(q.facts)}, (q.subject, q.predicate, q.object), triples(q.context), cfg)
+                if hit:
+                    name, a = hit
+                    rows.append((q.query_id, q.subject, q.predicate, q.object, name, a.similarity, a.supported, ",".join(f"{k}>{v}" for k, v in sorted(a.mapping.items()))))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWER.split(", ")])
+
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), "case", "similarity", "supported", "mapping")).alias("_b")
+    return met.mapInPandas(run, ANSWER).groupBy("query_id", "subject", "predicate", "object").agg(best).select("query_id", "subject", "predicate", "object", "_b.case", "_b.similarity", "_b.supported", "_b.mapping")

@@ -38,9 +38,26 @@ def normalise(df: DataFrame, weight: str = "w", out: str = "p") -> DataFrame:
 def posterior(priors: DataFrame, evidence: DataFrame, likelihood: DataFrame) -> DataFrame:
     """(case, h, p): priors (case, h, w) updated by evidence (case, step, evidence) in the order of step.
 
-    likelihood (evidence, h, l): what is missing counts as 1.  A step that would leave no mass at all is passed over; the fold
-    over a case's steps runs inside one row per case, whose hypotheses and steps bound it.
+    likelihood (evidence, h, l): what is missing counts as 1.  A step that would leave no mass at all is passed over.  Cases
+    none of whose steps rules out a hypothesis are summed up in logarithms, whatever the order, and combined before the
+    shuffle; only for the others the order matters, and the fold over their steps runs inside one row per case.
     """
+    counts = evidence.groupBy("case", "evidence").agg(F.count("*").alias("n"))
+    zero = likelihood.where("l = 0").select("evidence").distinct()
+    odd = counts.join(zero, "evidence", "left_semi").select("case").distinct()
+    told = counts.join(likelihood.where("l > 0"), "evidence").groupBy("case", "h").agg(F.sum(F.col("n") * F.ln("l")).alias("ll"))
+    plain = from_logs(priors.join(odd, "case", "left_anti"), told)
+    return plain.unionByName(_folded(priors.join(odd, "case", "left_semi"), evidence.join(odd, "case", "left_semi"), likelihood))
+
+
+def from_logs(priors: DataFrame, told: DataFrame) -> DataFrame:
+    """(case, h, p) of priors (case, h, w) and summed log-likelihoods (case, h, ll), which are missing where they are 0; the largest is taken off first, so nothing underflows."""
+    joined = priors.join(told, ["case", "h"], "left").withColumn("_l", F.when(F.col("w") > 0, F.ln("w") + F.coalesce("ll", F.lit(0.0))))
+    top = F.max("_l").over(Window.partitionBy("case"))
+    return normalise(joined.withColumn("_w", F.coalesce(F.exp(F.col("_l") - top), F.lit(0.0))), "_w").select("case", "h", "p")
+
+
+def _folded(priors: DataFrame, evidence: DataFrame, likelihood: DataFrame) -> DataFrame:
     start = normalise(priors).groupBy("case").agg(F.array_sort(F.collect_list(F.struct("h", "p"))).alias("now"))
     told = evidence.join(likelihood, "evidence", "left").groupBy("case", "step", "evidence").agg(F.map_from_entries(F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "l")))).alias("m"))
     steps = told.groupBy("case").agg(F.array_sort(F.collect_list(F.struct("step", F.map_entries("m").alias("m")))).alias("steps"))
@@ -55,9 +72,9 @@ def posterior(priors: DataFrame, evidence: DataFrame, likelihood: DataFrame) ->
 
 
 def posterior_product(priors: DataFrame, likelihood_rows: DataFrame) -> DataFrame:
-    """(case, h, p) where no step can leave a case without mass: one product per (case, h) of rows (case, h, l), combined before the shuffle."""
-    product = likelihood_rows.groupBy("case", "h").agg(F.product("l").alias("l"))
-    return normalise(priors.join(product, ["case", "h"], "left").withColumn("w", F.col("w") * F.coalesce("l", F.lit(1.0))).drop("l")).select("case", "h", "p")
+    """(case, h, p) where no step can leave a case without mass: one sum of logarithms per (case, h) of rows (case, h, l), combined before the shuffle."""
+    told = likelihood_rows.groupBy("case", "h").agg(F.sum(F.when(F.col("l") > 0, F.ln("l")).otherwise(F.lit(float("-inf")))).alias("ll"))
+    return from_logs(priors, told)
 
 
 def map_hypothesis(post: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize
+from ..sources.tables import Rounds, materialize
 
 # Fixed list of the predicates that carry causal influence.
 CAUSAL_PREDICATES = (
@@ -25,18 +25,34 @@ CAUSAL_PREDICATES = (
 
 def reach_closure(edges: DataFrame) -> DataFrame:
     """(src, dst): dst can be reached from src by one edge or more; (x, x) only on a cycle."""
-    paths = materialize(edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct(), "reach")
-    while True:
-        step = paths.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("_to")), "dst").select("src", F.col("_to").alias("dst")).distinct()
-        new = materialize(step.join(paths, ["src", "dst"], "left_anti"), "reach-new")
-        if new.isEmpty():
-            return paths
-        paths = materialize(paths.unionByName(new), "reach")
+    known = Rounds(edges.sparkSession, "reach")
+    new = known.add(edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct())
+    # A shortest path of more than 2 ** k edges begins with one of just 2 ** k, which is among those found last.
+    while not new.isEmpty():
+        step = new.join(known.rows.select(F.col("src").alias("dst"), F.col("dst").alias("_to")), "dst").select("src", F.col("_to").alias("dst")).distinct()
+        new = known.add(step.join(known.rows, ["src", "dst"], "left_anti"))
+    return known.rows
+
+
+def reach_from(edges: DataFrame, node: str, back: bool = False) -> DataFrame:
+    """(node): what can be reached from ``node`` by one edge or more, or with ``back`` what reaches it; only the part of the graph around it is looked at."""
+    here, there = ("target", "source") if back else ("source", "target")
+    hop = edges.select(F.col(here).alias("at"), F.col(there).alias("node")).distinct()
+    known = Rounds(edges.sparkSession, "reached")
+    new = known.add(hop.where(F.col("at") == node).select("node"))
+    while not new.isEmpty():
+        new = known.add(new.select(F.col("node").alias("at")).join(hop, "at").select("node").distinct().join(known.rows, "node", "left_anti"))
+    return known.rows
+
+
+class NotIdentifiable(ValueError):
+    """A causal effect that can't be told from the graph."""
 
 
 @dataclass(frozen=True)
 class CausalGraph:
     edges: DataFrame
+    lone: DataFrame | None = None
 
     @classmethod
     def of_relations(cls, relations: DataFrame) -> CausalGraph:
@@ -50,7 +66,8 @@ class CausalGraph:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self.edges.select(F.col("source").alias("node")).union(self.edges.select("target")).distinct()
+        ends = self.edges.select(F.col("source").alias("node")).union(self.edges.select("target"))
+        return (ends if self.lone is None else ends.union(self.lone)).distinct()
 
     @cached_property
     def reach(self) -> DataFrame:
@@ -62,7 +79,7 @@ class CausalGraph:
 
     def mutilated(self, treatment: str) -> CausalGraph:
         """The graph without edges into ``treatment``; more calls cut more."""
-        return CausalGraph(self.edges.where(F.col("target") != treatment))
+        return CausalGraph(self.edges.where(F.col("target") != treatment), self.lone)
 
     def children(self, node: str) -> DataFrame:
         return self.edges.where(F.col("source") == node).select(F.col("target").alias("node"), "predicate")
@@ -71,10 +88,10 @@ class CausalGraph:
         return self.edges.where(F.col("target") == node).select(F.col("source").alias("node"), "predicate")
 
     def descendants(self, node: str) -> DataFrame:
-        return self.reach.where(F.col("src") == node).select(F.col("dst").alias("node"))
+        return reach_from(self.edges, node)
 
     def ancestors(self, node: str) -> DataFrame:
-        return self.reach.where(F.col("dst") == node).select(F.col("src").alias("node"))
+        return reach_from(self.edges, node, back=True)
 
     def has_path(self, pairs: DataFrame) -> DataFrame:
         """(x, y, has_path); true where x = y, be it a node or not."""
@@ -100,28 +117,48 @@ class CausalGraph:
         asked = materialize(pairs.select("x", "y").distinct(), "asked")
         found = asked.where("x = y").select("x", "y", F.array("x").alias("path"))
         front = asked.where("x != y").select("x", F.array("x").alias("path"), F.col("x").alias("at")).distinct()
-        seen = front.select("x", "at")
-        goals = asked.where("x != y")
+        seen = Rounds(asked.sparkSession, "seen")
+        seen.add(front.select("x", "at"))
+        goals = materialize(asked.where("x != y"), "goals")
         hop = self.edges.select(F.col("source").alias("at"), F.col("target").alias("to")).distinct()
         parts = [found]
         while True:
             step = front.join(hop, "at").groupBy("x", "to").agg(F.min(F.concat("path", F.array("to"))).alias("path")).withColumnRenamed("to", "at")
-            front = materialize(step.join(seen, ["x", "at"], "left_anti"), "front")
+            front = materialize(step.join(seen.rows, ["x", "at"], "left_anti"), "front")
             if front.isEmpty():
                 break
-            seen = materialize(seen.unionByName(front.select("x", "at")), "seen")
+            seen.add(front.select("x", "at"))
             parts.append(front.join(goals.withColumnRenamed("y", "at"), ["x", "at"]).select("x", F.col("at").alias("y"), "path"))
+            # Starts whose goals are all found go no further.
+            goals = materialize(goals.join(front.select("x", F.col("at").alias("y")), ["x", "y"], "left_anti"), "goals")
+            front = front.join(goals.select("x").distinct(), "x", "left_semi")
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
+    def path_edges(self, paths: DataFrame) -> DataFrame:
+        """``paths`` (x, y, path) with hops, the edges of the path in order as triples; of edges between the same nodes the first predicate by name."""
+        apart = paths.select("x", "y", "path", F.posexplode(F.expr("transform(sequence(0, size(path) - 2), i -> struct(path[i] AS source, path[i + 1] AS target))")).alias("_i", "_h")).select("x", "y", "path", "_i", "_h.*")
+        told = apart.join(self.edges.groupBy("source", "target").agg(F.min("predicate").alias("predicate")), ["source", "target"])
+        hop = F.struct(F.col("source").alias("subject"), "predicate", F.col("target").alias("object"))
+        sorted_ = F.array_sort(F.collect_list(F.struct("_i", hop.alias("_t"))))
+        return told.groupBy("x", "y", "path").agg(F.transform(sorted_, lambda h: h["_t"]).alias("hops"))
+
+    def with_node(self, node: str) -> CausalGraph:
+        """The graph with ``node``, be it on an edge or not."""
+        extra = self.edges.sparkSession.createDataFrame([(node,)], "node string")
+        return CausalGraph(self.edges, extra if self.lone is None else self.lone.union(extra))
+
+    def has_node(self, node: str) -> bool:
+        return not self.nodes.where(F.col("node") == node).isEmpty()
+
     def relevant(self, x: str, y: str) -> CausalGraph:
         """The graph induced by x, y, their ancestors and the nodes between them."""
-        r = self.reach
-        between = r.where(F.col("src") == x).select(F.col("dst").alias("node")).intersect(r.where(F.col("dst") == y).select(F.col("src").alias("node")))
+        above = reach_from(self.edges, x, back=True), reach_from(self.edges, y, back=True)
+        between = reach_from(self.edges, x).intersect(above[1])
         ends = self.nodes.where(F.col("node").isin(x, y))
-        keep = between.union(r.where(F.col("dst").isin(x, y)).select("src")).union(ends).distinct()
+        keep = between.union(above[0]).union(above[1]).union(ends).distinct()
         return CausalGraph(self.edges.join(keep.withColumnRenamed("node", "source"), "source", "left_semi").join(keep.withColumnRenamed("node", "target"), "target", "left_semi"))
 
     def confounders(self, pairs: DataFrame) -> DataFrame:
@@ -142,6 +179,13 @@ class CausalGraph:
         why = F.when(~ok, "node not found").when(F.size(adjustment) == 0, "no confounder: the effect is direct").otherwise(F.concat(F.lit("adjust for "), F.array_join(adjustment, ", ")))
         return out.select("x", "y", ok.alias("identifiable"), criterion.alias("criterion"), adjustment.alias("adjustment"), why.alias("explanation"))
 
+    def verify_and_refuse(self, x: str, y: str) -> dict:
+        """The row of ``identify`` for one pair; raises NotIdentifiable where it is refused."""
+        row = self.identify(self.edges.sparkSession.createDataFrame([(x, y)], "x string, y string")).first().asDict()
+        if not row["identifiable"]:
+            raise NotIdentifiable(f"effect of {x} on {y}: {row['explanation']}")
+        return row
+
     def frontdoor(self, pairs: DataFrame) -> DataFrame:
         """(x, y, node): the children of x that reach y; none for a pair where another descendant of x reaches y too."""
         r, hop = self.reach, self.edges.select(F.col("source").alias("x"), F.col("target").alias("node")).distinct()

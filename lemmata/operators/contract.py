@@ -10,16 +10,18 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.compiler import CTX
-from ..plans.fixpoint import saturate
+from ..plans.fixpoint import Saturation, saturate, saturate_contexts
 from ..plans.terms import Rule
 from ..sources.tables import materialize
 from ..sources.triples import SPO, TRIPLE
 from .causal import CausalGraph
+from .provenance import measures
 
 QUERY = f"query_id string, subject string, predicate string, object string, context array<{TRIPLE}>"
 ANSWER = f"query_id string, value {TRIPLE}, trace string, complete boolean, depth int, confidence double, why array<string>, provenance array<string>, leaves array<{TRIPLE}>"
@@ -73,37 +75,34 @@ def evidence(rows: DataFrame, confidence: Column, why: Column, provenance: Colum
 
 
 class DeductiveReasoner(Reasoner):
-    """Saturates facts and context once per distinct context and proves the goals found there."""
+    """Saturates its facts once, and what each distinct context adds to them, and proves the goals found there.
+
+    An answer's trace is the whole proof: the rules from its leaves to the goal, its depth, its axioms as provenance and leaves.
+    """
 
     name, guarantee = "deductive", Guarantee(True, True)
 
     def __init__(self, rules: Sequence[Rule], facts: DataFrame, envelope: Sequence[str] | None = None):
         self.rules, self.facts, self.envelope = rules, facts, envelope
 
+    @cached_property
+    def base(self) -> Saturation:
+        return saturate(self.rules, self.facts.select(*SPO))
+
     def answer_all(self, queries: DataFrame) -> DataFrame:
         key = F.sha2(F.to_json(F.array_sort(F.array_distinct("context"))), 256)
         asked = materialize(queries.withColumn(CTX, F.coalesce(key, F.lit(""))), "asked")
-        contexts = asked.groupBy(CTX).agg(F.first("context").alias("context"))
-        seed = self.facts.select(*SPO).crossJoin(contexts.select(CTX)).unionByName(contexts.select(CTX, F.explode("context").alias("t")).select(CTX, "t.*"))
-        sat = saturate(self.rules, seed)
-        found = asked.join(sat.rows, [CTX, *SPO])
-        # A proof is complete if each branch ends in an axiom: a rule without a body proves nothing.
-        hollow = sat.rows.where("rule_id IS NOT NULL AND size(premises) = 0").select(CTX, F.struct(*SPO).alias("p"))
-        bad = hollow
-        for _ in range(sat.rounds):
-            up = sat.rows.where("rule_id IS NOT NULL").select(CTX, F.struct(*SPO).alias("_c"), F.explode("premises").alias("p")).join(bad, [CTX, "p"], "left_semi").select(CTX, F.col("_c").alias("p"))
-            bad = bad.unionByName(up).distinct()
-        judged = found.withColumn("p", F.struct(*SPO)).join(bad.withColumn("_bad", F.lit(True)), [CTX, "p"], "left")
-        rule = F.coalesce("rule_id", F.lit("axiom"))
-        cites = F.when(F.col("rule_id").isNull(), F.array(F.concat(F.lit("axiom:("), F.concat_ws(" ", *SPO), F.lit(")")))).otherwise(F.transform("premises", lambda t: F.concat(F.lit("axiom:("), F.concat_ws(" ", t["subject"], t["predicate"], t["object"]), F.lit(")"))))
-        return judged.select(
-            "query_id", goal_value().alias("value"), F.lit("derivation").alias("trace"), F.col("_bad").isNull().alias("complete"), F.col("round").alias("depth"), F.lit(None).cast("double").alias("confidence"), F.array(rule).alias("why"), cites.alias("provenance"),
-            F.coalesce("premises", F.array(F.struct(*SPO))).alias("leaves"),
-        )
+        seeds = asked.groupBy(CTX).agg(F.first("context").alias("context")).select(CTX, F.explode("context").alias("t")).select(CTX, "t.*")
+        sat = saturate_contexts(self.base, self.rules, seeds)
+        proofs = measures(sat, asked, ("depth", "complete", "trace_rule_ids", "leaves", "axioms"))
+        found = asked.select("query_id", CTX, *SPO).join(proofs, [CTX, *SPO])
+        cites = F.transform("axioms", lambda t: F.concat(F.lit("axiom:("), F.concat_ws(" ", t["subject"], t["predicate"], t["object"]), F.lit(")")))
+        why = F.when(F.size("trace_rule_ids") > 0, F.col("trace_rule_ids")).otherwise(F.array(F.lit("axiom")))
+        return found.select("query_id", goal_value().alias("value"), F.lit("derivation").alias("trace"), "complete", "depth", F.lit(None).cast("double").alias("confidence"), why.alias("why"), cites.alias("provenance"), "leaves")
 
 
 class CausalReasoner(Reasoner):
-    """Goal (x, causally_affects, y): proven by a shortest path if the pair is identifiable."""
+    """Goal (x, causally_affects, y): proven by the edges of a shortest path if the pair is identifiable."""
 
     name, guarantee, envelope = "causal", Guarantee(True, False), (CAUSALLY_AFFECTS,)
 
@@ -113,13 +112,12 @@ class CausalReasoner(Reasoner):
     def answer_all(self, queries: DataFrame) -> DataFrame:
         goals = queries.where(F.col("predicate") == CAUSALLY_AFFECTS)
         pairs = materialize(goals.select(F.col("subject").alias("x"), F.col("object").alias("y")).distinct(), "pairs")
-        paths = self.graph.shortest_paths(pairs).where(F.size("path") > 1)
+        paths = self.graph.path_edges(self.graph.shortest_paths(pairs).where(F.size("path") > 1))
         ok = self.graph.identify(pairs).where("identifiable").select("x", "y", "criterion")
         found = goals.join(ok.join(paths, ["x", "y"]), (F.col("subject") == F.col("x")) & (F.col("object") == F.col("y")))
         rule = F.concat(F.lit("do-calculus:"), F.when(F.col("criterion") == "Backdoor", "backdoor").otherwise("direct-effect"))
-        hops = F.transform(F.sequence(F.lit(0), F.size("path") - 2), lambda i: F.struct(F.get("path", i).alias("subject"), F.lit("causes").alias("predicate"), F.get("path", i + 1).alias("object")))
-        cites = F.transform(hops, lambda t: F.concat_ws(" ", F.lit("edge:"), t["subject"], t["object"]))
-        return found.select("query_id", goal_value().alias("value"), F.lit("derivation").alias("trace"), F.lit(True).alias("complete"), F.lit(1).alias("depth"), F.lit(None).cast("double").alias("confidence"), F.array(rule).alias("why"), cites.alias("provenance"), hops.alias("leaves"))
+        cites = F.transform("hops", lambda t: F.concat_ws(" ", F.lit("edge:"), t["subject"], t["predicate"], t["object"]))
+        return found.select("query_id", goal_value().alias("value"), F.lit("derivation").alias("trace"), F.lit(True).alias("complete"), F.lit(1).alias("depth"), F.lit(None).cast("double").alias("confidence"), F.array(rule).alias("why"), cites.alias("provenance"), F.col("hops").alias("leaves"))
 
 
 class CounterfactualReasoner(Reasoner):

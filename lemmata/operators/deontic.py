@@ -28,8 +28,13 @@ def check(obligations_: DataFrame, entities: DataFrame, sets: DataFrame) -> Data
     holds = lambda kind, name: sets.where(F.col("kind") == kind).select("entity", F.col("item").alias(name), F.lit(True).alias(f"_{kind}")).distinct()
     free = entities.select("entity").crossJoin(obligations_.where("condition IS NULL"))
     bound = holds("active", "condition").drop("_active").join(obligations_, "condition").join(entities.select("entity"), "entity", "left_semi")
-    all_ = free.unionByName(bound.select(free.columns))
-    out = all_.join(holds("proposed", "action"), ["entity", "action"], "left").join(holds("documented", "action"), ["entity", "action"], "left")
+    return judge(free.unionByName(bound.select(free.columns)), sets)
+
+
+def judge(applied: DataFrame, sets: DataFrame) -> DataFrame:
+    """A verdict and its evidence for rows (entity, action, modality, condition, artifact) of obligations that apply."""
+    holds = lambda kind, name: sets.where(F.col("kind") == kind).select("entity", F.col("item").alias(name), F.lit(True).alias(f"_{kind}")).distinct()
+    out = applied.join(holds("proposed", "action"), ["entity", "action"], "left").join(holds("documented", "action"), ["entity", "action"], "left")
     present, documented, m = F.col("_proposed").isNotNull(), F.col("_documented").isNotNull(), F.col("modality")
     rule = (
         F.when(m == "Must", F.when(present, "must:proposed").otherwise("must:absent")).when(m == "Could", "could:permitted")

@@ -17,7 +17,7 @@ NO_DERIVATION = "no derivation in the executable Y-graph"
 
 def gate(sat: Saturation, claims: DataFrame, with_proof: bool = False) -> DataFrame:
     """Each claim with verdict PROVEN or UNPROVEN, the reason of the latter and, if asked for, its proof and text."""
-    known = measures(sat, claims).select(*SPO, "proof", F.lit(True).alias("_known")) if with_proof else sat.rows.select(*SPO, F.lit(True).alias("_known"))
+    known = measures(sat, claims, ("proof",)).select(*SPO, "proof", F.lit(True).alias("_known")) if with_proof else sat.rows.select(*SPO, F.lit(True).alias("_known"))
     out = claims.join(known, list(SPO), "left").withColumn("verdict", F.when(F.col("_known"), "PROVEN").otherwise("UNPROVEN")).withColumn("reason", F.when(F.col("_known").isNull(), NO_DERIVATION))
     if with_proof:
         flagged = F.concat(F.lit("UNPROVEN (flagged → neural): "), spo(), F.lit("  — "), F.col("reason"))

@@ -64,16 +64,27 @@ def join_order(body: Sequence[Pattern], first: int | None = None) -> list[int]:
     return order
 
 
-def conjunction(frames: Sequence[DataFrame], body: Sequence[Pattern], premises: bool = False, first: int | None = None) -> DataFrame:
-    """Solutions of ``body``, where atom i reads ``frames[i]``; a multiset."""
+def _meet(out: DataFrame, side: DataFrame) -> DataFrame:
+    common = [c for c in side.columns if c in out.columns and c.startswith("v_")]
+    return out.join(side, common) if common else out.crossJoin(side)
+
+
+def conjunction(frames: Sequence[DataFrame], body: Sequence[Pattern], premises: bool = False, first: int | None = None, shared: DataFrame | None = None) -> DataFrame:
+    """Solutions of ``body``, where atom i reads ``frames[i]``; a multiset.
+
+    All atoms but the first also match the facts of ``shared``, which have no context and hold in each.
+    """
     out = None
     for i in join_order(body, first):
-        side = scan(frames[i], body[i], f"p_{i}" if premises else None)
+        kept = f"p_{i}" if premises else None
+        side = scan(frames[i], body[i], kept)
         if out is None:
             out = side
             continue
-        shared = [c for c in side.columns if c in out.columns and c.startswith("v_")]
-        out = out.join(side, shared) if shared else out.crossJoin(side)
+        both = _meet(out, side)
+        if shared is not None:
+            both = both.unionByName(_meet(out, scan(shared, body[i], kept)))
+        out = both
     return out
 
 
