@@ -10,7 +10,7 @@ which is what Spark's own ``and``, ``or`` and ``not`` do.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +26,23 @@ NUMERIC = {"integer", "decimal", "datetime"}
 class Entity:
     """What paths mean: the columns of ``frame`` (dots in paths are underscores), value sets, and a column test for subsumption.
 
-    ``kinds`` overrides the kind of a path, e.g. datetime for a long.
+    ``kinds`` overrides the kind of a path, e.g. datetime for a long.  What a code is subsumed by is either listed in
+    ``ancestors``, for small hierarchies, or stands in the column that ``lineage`` names for its path (``with_ancestors``).
     """
 
     frame: DataFrame
     value_sets: Mapping[str, Sequence[tuple[str, str]]] = field(default_factory=dict)
     ancestors: Mapping[tuple[str, str], Sequence[tuple[str, str]]] | None = None
     kinds: Mapping[str, str] = field(default_factory=dict)
+    lineage: Mapping[str, str] = field(default_factory=dict)
+
+    def with_ancestors(self, path: str, hierarchy: DataFrame) -> Entity:
+        """The entity with the ancestors of the code under ``path``, joined from a closed ``hierarchy`` of rows (code, ancestor), both structs (system, code)."""
+        column = path.replace(".", "_")
+        name = f"_{column}_ancestors"
+        up = hierarchy.groupBy(F.col("code").alias(f"_{column}_code")).agg(F.collect_set("ancestor").alias(name))
+        joined = self.frame.join(up, F.col(column) == F.col(f"_{column}_code"), "left").drop(f"_{column}_code")
+        return replace(self, frame=joined, lineage={**self.lineage, path: name})
 
 
 @dataclass(frozen=True)
@@ -217,6 +227,10 @@ class _Compiler:
         a, b = (self.scalar(self.of(x), "subsumption") for x in e.args)
         if {a.kind, b.kind} - {"code", "null"}:
             raise CqlTypeError("'subsumes' needs codes")
+        column = self.entity.lineage.get(getattr(e.args[1], "name", None))
+        if column and "null" not in (a.kind, b.kind):
+            above = F.coalesce(F.exists(F.col(column), lambda v: v == a.column), F.lit(False))
+            return Typed(F.when(b.column.isNotNull(), (a.column == b.column) | above), "boolean")
         if self.entity.ancestors is None or "null" in (a.kind, b.kind):
             return Typed(F.lit(None).cast("boolean"), "boolean")
         pairs = [f"{s}|{c}>{t}|{d}" for (t, d), up in self.entity.ancestors.items() for s, c in up]
