@@ -13,7 +13,7 @@ failure arcs are taken while an arc is missing, log-probabilities add up.
 Distribution: ``exchange`` adds up the n-gram counts of all blocks over the whole corpus.
 A block then holds the part of the automaton that its own documents can reach, which its
 size bounds, and walks it.  Words are compared by 64-bit hashes, longer n-grams by as many
-bits as the size of the corpus asks for (one in a million meets another by chance).
+bits as the size of the corpus asks for (one in 250,000 meets another by chance).
 
 Nulls and edges: a null text is the empty text (one token, the end); a null id is
 never held out and learns; repeated rows each count; an empty table gives an empty
@@ -39,7 +39,7 @@ from .exchange import exchange, frame, key_bits, pack, plan, unframe, unpack
 MASS = (200.0, 30.0)
 ORDER = 3
 SEGMENT = 2048
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 END, START = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, train_types long, base_score double, score double"
 
@@ -181,7 +181,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     """Scores of all texts under the model that the rows which aren't held out give."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
     total = docs.agg(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
-    bits = key_bits(order * total // 4, 20)
+    bits = key_bits(order * total // 4, 18)
 
     def ask(t):
         block, held = Block.read(t["text"], order), t["held_out"].to_numpy(zero_copy_only=False).astype(bool)
