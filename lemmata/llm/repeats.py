@@ -39,6 +39,7 @@ from .exchange import Plan, exchange, frame, key_bits, pack, plan, unframe, unpa
 
 LENGTH, GRAM, SAMPLE = 400, 64, 16
 _PIECE = 1 << 20
+FRACTION = 4
 _RANGES = "text_key long, size long, ranges array<struct<lo:long,hi:long>>"
 _CUT = "text_key long, size long, gone long, count long, sha string, times long"
 
@@ -170,7 +171,10 @@ def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = own.select("text_key", "size", "text").join(F.broadcast(asked) if n <= BROADCAST_ROWS else asked.hint("shuffle_hash"), ["text_key", "size"])
     once = found.groupBy("text_key", "size").agg(F.first("text").alias("text"), F.first("ranges").alias("ranges"), F.first("times").alias("times"))
     texts = materialize(once, "suffix-texts")
-    cut = materialize(repeated_windows(texts, plan(spark, bytes_left or 0, block_bytes), windows or 0, length, gram), "suffix-cut")
+    # A block of pass 2 has up to a row a byte, so it is a fraction of one of pass 1.
+    sizes = plan(spark, bytes_left or 0, block_bytes)
+    sizes = Plan(max(1, sizes.block_bytes // FRACTION), sizes.buckets, sizes.tasks * FRACTION)
+    cut = materialize(repeated_windows(texts, sizes, windows or 0, length, gram), "suffix-cut")
     rows = own.select("doc_id", "text_key", "size", F.sha2("text", 256).alias("_whole"))
     out = join_spread(rows, cut, ["text_key", "size"], "times", F.col("doc_id"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias
