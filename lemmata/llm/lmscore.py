@@ -39,7 +39,7 @@ from .exchange import exchange, frame, key_bits, pack, plan, unframe, unpack
 MASS = (200.0, 30.0)
 ORDER = 3
 SEGMENT = 2048
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 10 << 20
 END, START = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, train_types long, base_score double, score double"
 
@@ -80,7 +80,7 @@ class Block:
     @classmethod
     def read(cls, texts: pa.Array, order: int) -> Block:
         data, offsets = text_buffer(texts)
-        _, _, h, n = words(data, offsets)
+        h, n = words(data, offsets)[2:]
         lengths = n + 1
         stream = np.empty(int(lengths.sum()), U64)
         ends = np.cumsum(lengths) - 1
@@ -88,7 +88,9 @@ class Block:
         inside[ends] = False
         stream[inside] = h
         stream[ends] = U64(END)
+        del h, inside
         types, ids = np.unique(stream, return_inverse=True)
+        del stream
         return cls(ids.astype(np.int32), lengths, types, order)
 
     def keys(self, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
