@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where that is unset, a temporary folder on a single machine, as in tests. On a cluster it has to be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+        if not re.match(r"local(\[[^\]]*\])?$", spark.conf.get("spark.master", "local")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lemmata-')}"
         spark.conf.set("spark.checkpoint.dir", found)
