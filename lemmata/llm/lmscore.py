@@ -35,8 +35,8 @@ from .bytesops import U64, mix, text_buffer, words
 from .common import is_held_out, text_of
 from .exchange import exchange, frame, key_bits, pack, plan, unframe, unpack
 
-#: Smoothing mass of histories of one word, two words and so on; the last one holds for longer ones.
-MASS = (200.0, 30.0)
+#: Smoothing mass of histories of one word, two words and so on; the last one holds for longer ones.  Chosen by ``compare_masses``.
+MASS = (6000.0, 15.0)
 ORDER = 3
 SEGMENT = 2048
 BLOCK_BYTES = 10 << 20
@@ -216,3 +216,19 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
 
 def lm_report(docs: DataFrame, modulus: int = 7, remainder: int = 2, **options) -> DataFrame:
     return score(docs, is_held_out("doc_id", modulus, remainder), **options)
+
+
+def compare_masses(docs: DataFrame, masses: Sequence[Sequence[float]], modulus: int = 7, remainder: int = 2, tune: int = 3, **options) -> dict[tuple[float, ...], float]:
+    """The log10 likelihood a token that each setting of the masses gives to a part of the training texts.
+
+    The rows that ``lm_report`` holds out are left out altogether.  Of the others, those with remainder ``tune`` are scored by
+    a model of the rest; texts that occur more than once are not counted, as a model that has seen a copy knows them.
+    """
+    training = docs.where(~is_held_out("doc_id", modulus, remainder))
+    tuned = is_held_out("doc_id", modulus, tune)
+    once = training.groupBy(F.sha2(text_of(), 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").select("doc_id")
+    out = {}
+    for mass in masses:
+        scored = score(training, tuned, mass=mass, **options).where("held_out").join(once, "doc_id", "left_semi")
+        out[tuple(mass)] = scored.agg(F.sum("score") / F.sum("n_tokens")).first()[0]
+    return out

@@ -84,6 +84,18 @@ def test_lm_long_text_in_segments(spark, monkeypatch):
     assert [round(r[0], 4) for r in rows_of(got, ["score"])] == sorted(round(r[-1], 4) for r in brute.lm(rows, lmscore.MASS))
 
 
+def test_masses_are_compared_on_training_texts_alone(spark, driver_rows):
+    part = lambda r: zlib.crc32(str(r[0]).encode()) % 7
+    training = [r for r in driver_rows if part(r) != 2]
+    texts = [r[1] or "" for r in training]
+    got = lmscore.compare_masses(docs_of(spark, driver_rows), [(20.0, 4.0), (200.0, 30.0)])
+    for mass, value in got.items():
+        scored = [r for r in brute.lm(training, mass, held=lambda i: zlib.crc32(str(i).encode()) % 7 == 3) if part(r) == 3 and texts.count(dict(training)[r[0]] or "") == 1]
+        assert value == pytest.approx(sum(r[-1] for r in scored) / sum(r[2] for r in scored), abs=1e-5)
+    changed = [r if part(r) != 2 else (r[0], "other words") for r in driver_rows]
+    assert lmscore.compare_masses(docs_of(spark, changed), [(20.0, 4.0)])[20.0, 4.0] == pytest.approx(got[20.0, 4.0])
+
+
 def test_repeats(spark, rows):
     got = repeats.removal_report(docs_of(spark, rows))
     assert rows_of(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == ordered(brute.repeats(rows, repeats.LENGTH))
