@@ -122,17 +122,19 @@ def exchange(
     rows: DataFrame,
     sizes: Plan,
     bits: list[int],
-    ask: Callable[[pa.Table], tuple[list[tuple[np.ndarray, np.ndarray]], bytes]],
+    ask: Callable[[pa.Table], tuple[list[tuple[np.ndarray, np.ndarray]], bytes | None]],
     walk: Callable[[bytes, list[np.ndarray], np.ndarray], pa.Table],
     schema: str,
     reply: Callable[[np.ndarray], np.ndarray] = narrow,
     stats: Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray] = _nothing,
+    keep: Callable[[pa.Table], bytes] | None = None,
 ) -> DataFrame:
     """What ``walk`` makes of each block of ``rows``, which have a column text.
 
     ``ask`` gives a block's sorted distinct keys and counts, one pair for each entry of ``bits`` (the width of its keys), and
     what the block keeps.  ``walk`` gets that, the totals as ``reply`` coded them, in the order of the keys, and the sum over
-    all buckets of ``stats``.
+    all buckets of ``stats``.  What a block keeps passes both shuffles; with ``keep``, which makes it from the rows alone, they
+    are read once more for it, and it passes only the second one.
     """
     p, block_bytes = sizes.buckets, sizes.block_bytes
 
@@ -147,9 +149,17 @@ def exchange(
             for b in range(p):
                 part = [(k[c[b] : c[b + 1]], n[c[b] : c[b + 1]]) for (k, n), c in zip(tables, cuts, strict=True)]
                 out.append((b, base + i, KEYS, b, frame([x for k, n in part for x in (pack(np.diff(k, prepend=U64(0))), pack(narrow(n)))])))
-            out.append(((base + i) % p, base + i, OWN, -1, own))
+            if own is not None:
+                out.append(((base + i) % p, base + i, OWN, -1, own))
             yield _messages(out)
 
+    def hold(batches):
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 32
+        for i, t in enumerate(gathered(batches, block_bytes)):
+            yield _messages([(base + i, base + i, OWN, -1, keep(t))])
+
     def answer(key, table):
         out, asked = [], []
         for r in table.to_pylist():
@@ -170,8 +180,7 @@ def exchange(
                 out.append((src, src, ANSWER, bucket, frame([told, *(pack(reply(t[pl[i]])) for t, pl in zip(totals, places, strict=True))])))
         return pa.Table.from_batches([_messages(out)])
 
-    def finish(key, table):
-        got = table.to_pylist()
+    def finish(got):
         (own,) = (r["payload"] for r in got if r["kind"] == OWN)
         answers = sorted((r for r in got if r["kind"] == ANSWER), key=lambda r: r["bucket"])
         if [r["bucket"] for r in answers] != list(range(p)):
@@ -180,5 +189,9 @@ def exchange(
         return walk(own, [np.concatenate([x[1 + j] for x in parts]) for j in range(len(bits))], sum(x[0] for x in parts))
 
     asked = rows.mapInArrow(send, MESSAGE).repartition(max(p, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "dest")
-    answered = asked.groupBy("dest").applyInArrow(answer, MESSAGE).repartition(sizes.tasks, "dest")
-    return answered.groupBy("dest").applyInArrow(finish, schema)
+    answered = asked.groupBy("dest").applyInArrow(answer, MESSAGE).repartition(sizes.tasks, "dest").groupBy("dest")
+    if keep is None:
+        return answered.applyInArrow(lambda key, table: finish(table.to_pylist()), schema)
+    # Blocks are numbered alike in both readings, as the rows come from the same files in the same order.
+    held = rows.mapInArrow(hold, MESSAGE).repartition(sizes.tasks, "dest").groupBy("dest")
+    return answered.cogroup(held).applyInArrow(lambda key, table, kept: finish(table.to_pylist() + kept.to_pylist()), schema)

@@ -189,10 +189,14 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
         block, held = Block.read(t["text"], order), t["held_out"].to_numpy(zero_copy_only=False).astype(bool)
         keys, places = block.keys(bits)
         counts = [np.bincount(p, c, len(k)).astype(np.int64) for k, p, c in zip(keys, places, block.train_counts(~held), strict=True)]
+        return list(zip(keys, counts, strict=True)), None
+
+    def keep(t):
+        block, held = Block.read(t["text"], 1), t["held_out"].to_numpy(zero_copy_only=False).astype(np.uint8)
         ids = t["doc_id"].combine_chunks()
         known = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
-        own = [block.ids[1].astype(np.uint32), block.lengths.astype(np.uint32), np.diff(block.types, prepend=U64(0)), ids.fill_null(0).to_numpy(zero_copy_only=False), known, held.astype(np.uint8)]
-        return list(zip(keys, counts, strict=True)), frame([pack(x) for x in own])
+        own = [block.ids[1].astype(np.uint32), block.lengths.astype(np.uint32), np.diff(block.types, prepend=U64(0)), ids.fill_null(0).to_numpy(zero_copy_only=False), known, held]
+        return frame([pack(x) for x in own])
 
     def stats(keys, totals):
         word = keys[0] != (mix(np.array([START], U64)) | U64(1))[0]
@@ -211,7 +215,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
         ]
         return pa.Table.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")])
 
-    return exchange(slim, plan(docs.sparkSession, total, block_bytes, BLOCK_BYTES), [64, bits], ask, walk, SCORES, stats=stats)
+    return exchange(slim, plan(docs.sparkSession, total, block_bytes, BLOCK_BYTES), [64, bits], ask, walk, SCORES, stats=stats, keep=keep)
 
 
 def lm_report(docs: DataFrame, modulus: int = 7, remainder: int = 2, **options) -> DataFrame:
