@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.compiler import CTX
 from ..plans.fixpoint import saturate
 from ..plans.terms import Rule
+from ..sources.tables import materialize
 from ..sources.triples import SPO
 
 
@@ -26,12 +27,26 @@ def derivation_metrics(derived: DataFrame, gold: DataFrame, forbidden: DataFrame
 
 
 def percentile(rows: DataFrame, column: str, share: float, by: list[str] | None = None) -> DataFrame:
-    """The value at place round((n - 1) * share) of the sorted ``column`` of each group; 0 for no rows at all."""
-    own = rows.where(F.col(column).isNotNull())
+    """The value at place round((n - 1) * share) of the sorted ``column`` of each group; 0 for no rows at all.
+
+    Equal values are counted first; the counts are dealt by ranges of groups and values, and only the range that holds the
+    place is sorted, so neither a large group nor a frequent value meets in one task.
+    """
+    by = by or []
+    counted = rows.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    ranged = materialize(counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()), "percentile-counts")
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*by, "_part").agg(F.sum("_c").alias("_sum"))
     # The place of a half is rounded up, as the counts aren't negative.
-    at = F.floor((F.count("*").over(Window.partitionBy(*(by or [F.lit(0)]))) - 1) * share + 0.5) + 1
-    placed = own.withColumn("_n", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(column))).withColumn("_at", at)
-    found = placed.groupBy(*(by or [])).agg(F.max(F.when(F.col("_n") == F.col("_at"), F.col(column))).alias("value"))
+    at = (F.floor((F.sum("_sum").over(Window.partitionBy(*by)) - 1) * share + 0.5) + 1).alias("_at")
+    placed = parts.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_part").alias("_of"), "_sum", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), at)
+    holding = placed.where((F.col("_before") < F.col("_at")) & (F.col("_at") <= F.col("_before") + F.col("_sum")))
+    same = F.col("_part") == F.col("_of")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    reached = ranged.join(holding, same).withColumn("_upto", upto + F.col("_before")).where(F.col("_upto") >= F.col("_at"))
+    found = reached.groupBy(*by).agg(F.min("_v").alias("value"))
     return found if by else found.select(F.coalesce("value", F.lit(0)).alias("value"))
 
 

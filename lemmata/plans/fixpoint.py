@@ -9,7 +9,7 @@ costs one round at most.  A fact's round is the same as under naive evaluation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import new_path
 from ..sources.triples import SPO, TRIPLE
 from .compiler import CTX, conjunction, heads, keys_of, var
-from .terms import Rule
+from .terms import Rule, Triple
 
 STORE = f"subject string, predicate string, object string, rule_id string, premises array<{TRIPLE}>, round int"
 #: Increments share the files of the run before; after so many the store is written anew.
@@ -52,6 +52,18 @@ class Saturation:
     def derivations(self) -> DataFrame:
         return self.rows.where("rule_id IS NOT NULL")
 
+    def of_round(self, n: int) -> DataFrame:
+        """The facts that round ``n`` added; round 0 holds the given ones."""
+        return self.facts.where(F.col("round") == n)
+
+    def size(self) -> int:
+        return self.rows.count()
+
+    def triples(self) -> Iterator[Triple]:
+        """All facts on the driver, by round and then in order, one partition held at a time; for small results and tests."""
+        for r in self.facts.orderBy("round", *SPO).toLocalIterator():
+            yield Triple(*(r[c] for c in SPO))
+
     def contains(self, claims: DataFrame) -> DataFrame:
         return claims.join(self.rows.select(*SPO), list(SPO), "left_semi")
 

@@ -151,3 +151,10 @@ def test_tsv(spark, tmp_path):
 
     write_tsv(of_rows(spark, [("a", "b", "c d")]), str(tmp_path / "t"))
     assert [tuple(r) for r in read_tsv(spark, str(tmp_path / "t"), list(SPO)).collect()] == [("a", "b", "c d")]
+
+
+def test_rounds_and_triples(spark):
+    sat = saturate(ANCESTOR, of_rows(spark, [("a", "parent", "b"), ("b", "parent", "c")]))
+    listed = list(sat.triples())
+    assert sat.size() == len(listed) == 5 and listed[:2] == [Triple("a", "parent", "b"), Triple("b", "parent", "c")]
+    assert [tuple(r) for r in sat.of_round(2).collect()] == [("a", "ancestor", "c", 2)]

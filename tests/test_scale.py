@@ -1,5 +1,7 @@
 """Limits, increments, contexts and libraries that grow."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,12 @@ def test_deontic_answers(spark):
 def test_percentiles_and_batteries(spark):
     rows = spark.createDataFrame([(float(k),) for k in (5, 1, 4, 2, 3, 9)], "v double")
     assert metrics.median(rows, "v").first()["value"] == 4.0 and metrics.percentile(rows, "v", 0.95).first()["value"] == 9.0 and metrics.median(rows.limit(0), "v").first()["value"] == 0.0
+    rng = random.Random(3)
+    many = [(rng.choice(["a", "b", None]), rng.choice([7.0, 7.0, float(rng.randrange(50)), None])) for _ in range(400)]
+    frame = spark.createDataFrame(many, "g string, v double").repartition(3)
+    for share in (0.0, 0.37, 0.5, 1.0):
+        want = {g: (own := sorted(v for h, v in many if h == g and v is not None))[int((len(own) - 1) * share + 0.5)] for g in ("a", "b", None)}
+        assert {r["g"]: r["value"] for r in metrics.percentile(frame, "v", share, ["g"]).collect()} == want
     posterior = spark.createDataFrame([("c", "x", 0.25), ("c", "y", 0.75)], "case string, h string, p double")
     golds = spark.createDataFrame([("c", "x", 0.2505), ("c", "y", 0.5), ("d", "x", 1.0)], "case string, h string, p double")
     assert metrics.bayes_battery(posterior, golds).select("cells", "agree").first() == (3, 1)
