@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import join_spread, materialize, text_of
 
 MARK = r"^(\s{0,3}>)+ ?"
 STRETCH = 4096
@@ -98,12 +98,17 @@ def latest_before(rows: DataFrame, keys: list[str], turn: str, value: str) -> Da
 def _follow(parents: DataFrame) -> DataFrame:
     """(conv_id, turn, parent, root, depth) of rows (conv_id, turn, parent), by pointer doubling.
 
-    Rows that have reached their root take no part in later rounds.
+    Rows that have reached their root take no part in later rounds.  A message that many others have come to, such as the first
+    of a long conversation, is looked up in a broadcast table, so they don't meet in one task.
     """
-    now = materialize(parents.select("conv_id", "turn", "parent", F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("parent").isNotNull().alias("_moved")), "reply-roots")
+    first = parents.select("conv_id", "turn", "parent", F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("parent").isNotNull().alias("_moved"))
+    now = materialize(first, "reply-roots")
     while not now.where("_moved").isEmpty():
+        moved = now.where("_moved")
+        asked = moved.groupBy("conv_id", "root").agg(F.count("*").alias("_times"))
         up = now.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        step = now.where("_moved").join(up, ["conv_id", "root"], "left").select("conv_id", "turn", "parent", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.coalesce("_depth", F.lit(0)) > 0).alias("_moved"))
+        wanted = materialize(up.join(asked, ["conv_id", "root"]), "reply-targets")
+        step = join_spread(moved, wanted, ["conv_id", "root"], "_times", F.col("turn")).select("conv_id", "turn", "parent", F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.coalesce("_depth", F.lit(0)) > 0).alias("_moved"))
         now = materialize(now.where("NOT _moved").unionByName(step), "reply-roots")
     return now.drop("_moved")
 

@@ -8,7 +8,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
-from lemmata.llm import chat, decontaminate, langid, linededup, lmscore, media, mixing, neardup, repeats, secrets
+from lemmata.llm import chat, common, decontaminate, langid, linededup, lmscore, media, mixing, neardup, repeats, secrets
 from lemmata.llm.queries import QUERIES, SQL
 
 from . import brute
@@ -478,6 +478,7 @@ def test_chat(spark):
 @pytest.mark.parametrize("stretch", [4096, 3])
 def test_chat_by_brute_force(spark, monkeypatch, stretch):
     monkeypatch.setattr(chat, "STRETCH", stretch)
+    monkeypatch.setattr(common, "HOT_ROWS", stretch)
     rng = random.Random(8)
     said = ["Yes, do", "No!", "A longer line of text.", "Étrange, non?", "好的", "!!", ""]
     rows = []
