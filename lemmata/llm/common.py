@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +62,12 @@ def join_spread(rows: DataFrame, lookup: DataFrame, on: list[str], times: str, s
         return rows.join(lookup.drop(times), on, "left")
     hot = F.coalesce(F.col(times), F.lit(0)) > least
     hot_rows = lookup.where(hot).select(*on, F.struct(F.lit(True).alias("_hit"), *values).alias("_hot_values"))
-    cold = lookup.where(~hot).select(*on, F.lit(0).cast("long").alias("_deal"), F.struct(*values).alias("_cold_values"))
-    first = rows.join(F.broadcast(hot_rows), on, "left").withColumn("_deal", F.when(F.col("_hot_values").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1))))
+    # Zero, but no constant: the optimiser would take a constant out of the join's keys, and the rows would be dealt by ``on`` alone.
+    none = F.least(F.col(times).cast("long"), F.lit(0).cast("long"))
+    cold = lookup.where(~hot).select(*on, none.alias("_deal"), F.struct(*values).alias("_cold_values"))
+    # Rows with a null in a key match nothing and are dealt like those of hot keys.
+    whole = reduce(Column.__and__, (F.col(c).isNotNull() for c in on))
+    first = rows.join(F.broadcast(hot_rows), on, "left").withColumn("_deal", F.when(F.col("_hot_values").isNull() & whole, F.lit(0).cast("long")).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1))))
     both = first.join(cold, [*on, "_deal"], "left")
     return both.select(*rows.columns, *(F.when(F.col("_hot_values._hit"), F.col(f"_hot_values.{c}")).otherwise(F.col(f"_cold_values.{c}")).alias(c) for c in values))
 

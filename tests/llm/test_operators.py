@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lemmata.llm import chat, common, decontaminate, langid, linededup, lmscore, media, mixing, neardup, repeats, secrets
 from lemmata.llm.queries import QUERIES, SQL
@@ -460,6 +462,21 @@ def test_language_edges(spark, awkward_rows):
     assert langid.keep_identified(docs).columns == docs.columns
 
 
+def test_join_spread_deals_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(None if n % 7 == 6 else n % 7 if n % 2 else 0, n) for n in range(60)] + [(99, 60)], "k long, n long")
+    lookup = common.materialize(rows.groupBy("k").agg(F.count("*").alias("times"), F.max("n").alias("v")), "lookup")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = common.join_spread(rows, lookup, ["k"], "times", F.col("n"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert got.columns == ["k", "n", "v"] and re.search(r"SortMergeJoin \[k#\w+, _deal#\w+\]", plan)
+        best = {r["k"]: r["v"] for r in lookup.collect()}
+        assert rows_of(got, ["k", "n", "v"]) == ordered([(r["k"], r["n"], None if r["k"] is None else best[r["k"]]) for r in rows.collect()])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_chat(spark):
     talk = [
         (1, 0, "user", "What is the capital of France?\nAnd of Spain, please?"), (1, 1, "assistant", "Paris is the capital of France."), (1, 2, "user", "> Paris is the capital, of FRANCE\nThanks."),
