@@ -186,14 +186,23 @@ class CausalGraph:
             raise NotIdentifiable(f"effect of {x} on {y}: {row['explanation']}")
         return row
 
+    def between(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (x, y) with node: what x reaches and what reaches y, but for x and y; from the end of a pair that has fewer nodes on its side."""
+        r = self.reach
+        below, above = r.groupBy(F.col("src").alias("x")).agg(F.count("*").alias("_below")), r.groupBy(F.col("dst").alias("y")).agg(F.count("*").alias("_above"))
+        sized = pairs.select("x", "y").join(below, "x").join(above, "y")
+        of_x, of_y = r.select(F.col("src").alias("x"), F.col("dst").alias("node")), r.select(F.col("src").alias("node"), F.col("dst").alias("y"))
+        inner = (F.col("node") != F.col("x")) & (F.col("node") != F.col("y"))
+        up = sized.where("_above <= _below").select("x", "y").join(of_y, "y").where(inner).join(of_x, ["x", "node"], "left_semi")
+        down = sized.where("_above > _below").select("x", "y").join(of_x, "x").where(inner).join(of_y, ["node", "y"], "left_semi")
+        return up.select("x", "y", "node").unionByName(down.select("x", "y", "node"))
+
     def frontdoor(self, pairs: DataFrame) -> DataFrame:
         """(x, y, node): the children of x that reach y; none for a pair where another descendant of x reaches y too."""
-        r, hop = self.reach, self.edges.select(F.col("source").alias("x"), F.col("target").alias("node")).distinct()
-        to_y = r.select(F.col("src").alias("node"), F.col("dst").alias("y"))
-        inner = F.col("node") != F.col("y")
-        candidates = pairs.select("x", "y").join(hop, "x").where(inner & (F.col("node") != F.col("x"))).join(to_y, ["node", "y"], "left_semi")
-        others = pairs.select("x", "y").join(r.select(F.col("src").alias("x"), F.col("dst").alias("node")), "x").where(inner & (F.col("node") != F.col("x"))).join(to_y, ["node", "y"], "left_semi").join(candidates, ["x", "y", "node"], "left_anti")
-        return candidates.join(others.select("x", "y").distinct(), ["x", "y"], "left_anti").select("x", "y", "node")
+        hop = self.edges.select(F.col("source").alias("x"), F.col("target").alias("node")).distinct()
+        inner = self.between(pairs)
+        others = inner.join(hop, ["x", "node"], "left_anti").select("x", "y").distinct()
+        return inner.join(hop, ["x", "node"], "left_semi").join(others, ["x", "y"], "left_anti").select("x", "y", "node")
 
     def intervention(self, treatments: DataFrame, skip: bool = True) -> DataFrame:
         """(treatment, role, node) of skipping or reprioritising each treatment.
