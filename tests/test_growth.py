@@ -2,6 +2,10 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from lemmata.operators import induction
 from lemmata.operators.causal import CausalGraph
 
 
@@ -48,3 +52,42 @@ def test_frontdoor_equals_its_definition(spark):
             if all((x, n) in edges for n in inner):
                 want += [(x, y, n) for n in inner]
         assert sorted(map(tuple, graph_of(spark, edges).frontdoor(spark.createDataFrame(asked, "x string, y string")).collect())) == sorted(want)
+
+
+def feature_rows(spark, n, features, name, seed, kinds=4):
+    rng = random.Random(seed)
+    own = {k: rng.sample(range(features), rng.randint(1, kinds)) for k in range(n)}
+    return own, spark.createDataFrame([(k, f"f{f:03d}") for k, fs in own.items() for f in [*fs, fs[0]]], f"{name} long, f string")
+
+
+@pytest.mark.parametrize("features", [6, 90])
+def test_similar_and_nearest_cases_equal_their_definitions(spark, features):
+    """With few features, compared as bits, and with many, through the inverted index."""
+    cases, b = feature_rows(spark, 40, features, "b", 3)
+    others, c = feature_rows(spark, 12, features, "a", 4)
+    jac = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    for targets, a, same in ((others, c, False), (cases, b.withColumnRenamed("b", "a"), True)):
+        want = {(i, j): jac(x, y) for i, x in targets.items() for j, y in cases.items() if jac(x, y)}
+        assert {(r["a"], r["b"]): r["similarity"] for r in induction.jaccard_pairs(a, b).collect()} == want
+        near = {i: min((-s, j) for (k, j), s in want.items() if k == i and not (same and i == j)) for i in targets if any(k == i and not (same and i == j) for k, j in want)}
+        got = {r["a"]: (-r["similarity"], r["b"]) for r in induction.nearest_case(a, b, others=same).collect()}
+        assert got == {i: v for i, v in near.items() if -v[0] >= 0.5}
+
+
+def test_similarities_are_rounded_as_spark_does(spark):
+    _, b = feature_rows(spark, 30, 14, "b", 9, kinds=12)
+    a = b.withColumnRenamed("b", "a")
+    key = ["a", "b", "similarity"]
+    want = induction.jaccard_pairs(a, b).withColumn("similarity", F.round("similarity", 6))
+    assert sorted(map(tuple, induction.jaccard_pairs(a, b, digits=6).select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+
+
+def test_pairs_of_cases_are_not_shuffled(spark):
+    _, b = feature_rows(spark, 200, 8, "b", 1)
+    a = b.withColumnRenamed("b", "a")
+    near, most = rows_made(induction.nearest_case(a, b, others=True))
+    assert len(near) == 200 and most < 5000
+    pairs = induction.jaccard_pairs(a, b)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "SortMergeJoin" not in plan
