@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 EPSILON = 2.220446049250313e-16
 MAX_LIBRARY = 100_000
+#: Kinds of questions that a task remembers the answers of.
+MAX_SHAPES = 10_000
 ANSWER = "query_id string, subject string, predicate string, object string, case string, similarity double, supported int, mapping string"
 
 
@@ -99,6 +101,28 @@ def best_case(cases: Mapping[str, Sequence[tuple]], goal: tuple, context: Sequen
     return min(found, key=lambda x: x[:2])[1:] if found else None
 
 
+class Shapes:
+    """``best_case`` over one library, searched once for questions that differ only in their entities' names.
+
+    Entities are replaced by their places in order, so that ties among equal maps fall as they would by name.
+    """
+
+    def __init__(self, cases: Mapping[str, Sequence[tuple]], cfg: AnalogyConfig):
+        self.cases, self.cfg, self.known = cases, cfg, {}
+
+    def best(self, goal: tuple, context: Sequence[tuple]) -> tuple[str, Alignment] | None:
+        names = sorted({e for s, _, o in (*context, goal) for e in (s, o)})
+        place = {e: i for i, e in enumerate(names)}
+        apart = lambda t: (place[t[0]], t[1], place[t[2]])
+        key = apart(goal), frozenset(map(apart, context))
+        if key not in self.known:
+            if len(self.known) >= MAX_SHAPES:
+                self.known.clear()
+            self.known[key] = best_case(self.cases, key[0], list(key[1]), self.cfg)
+        hit = self.known[key]
+        return hit and (hit[0], Alignment({k: names[v] for k, v in hit[1].mapping.items()}, hit[1].supported, hit[1].total))
+
+
 def analogical_answers(queries: DataFrame, cases: DataFrame, cfg: AnalogyConfig = AnalogyConfig()) -> DataFrame:
     """Answers to queries (query_id, subject, predicate, object, context array of triples) from cases (case, subject, predicate, object)."""
     held = cases.select("case", "subject", "predicate", "object").limit(MAX_LIBRARY + 1).collect()
@@ -109,11 +133,12 @@ def analogical_answers(queries: DataFrame, cases: DataFrame, cfg: AnalogyConfig
         library.setdefault(name, []).append(tuple(fact))
 
     def run(frames):
+        shapes = Shapes(library, cfg)
         for f in frames:
             rows = []
             for q in f.itertuples(index=False):
                 context = [(c["subject"], c["predicate"], c["object"]) for c in (q.context if q.context is not None else [])]
-                hit = best_case(library, (q.subject, q.predicate, q.object), context, cfg)
+                hit = shapes.best((q.subject, q.predicate, q.object), context)
                 if hit:
                     name, a = hit
                     rows.append((q.query_id, q.subject, q.predicate, q.object, name, a.similarity, a.supported, ",".join(f"{k}>{v}" for k, v in sorted(a.mapping.items()))))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lemmata.operators import contract, deontic, induction, reasoners
+from lemmata.operators import analogy, contract, deontic, induction, reasoners
 from lemmata.operators.causal import CausalGraph
 
 
@@ -123,3 +123,20 @@ def test_compliance_is_told_where_the_context_is(spark):
     assert sorted((r["query_id"], r["why"], r["provenance"]) for r in answers.collect()) == sorted((r["entity"], r["why"], r["provenance"]) for r in told.collect())
     plan = answers._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan
+
+
+def test_questions_of_one_shape_are_searched_once(spark, monkeypatch):
+    rng = random.Random(2)
+    cases = {c: [(f"{c}{rng.randrange(3)}", rng.choice("pqr"), f"{c}{rng.randrange(3)}") for _ in range(3)] for c in "cde"}
+    asked, cfg = [], analogy.AnalogyConfig(min_similarity=0.3, min_aligned_relations=1)
+    for _ in range(60):
+        names = [f"z{rng.randrange(900)}" for _ in range(3)]
+        asked.append(((names[0], rng.choice("pqr"), rng.choice(names)), [(rng.choice(names), rng.choice("pqr"), rng.choice(names)) for _ in range(3)]))
+    shapes = analogy.Shapes(cases, cfg)
+    assert [shapes.best(g, c) for g, c in asked] == [analogy.best_case(cases, g, c, cfg) for g, c in asked]
+    made, search = [], analogy.best_case
+    monkeypatch.setattr(analogy, "best_case", lambda *x: made.append(1) or search(*x))
+    again = analogy.Shapes(cases, cfg)
+    for k in range(1000):
+        again.best((f"n{k}", "p", "x"), [(f"n{k}", "q", "y")])
+    assert len(made) == 1
