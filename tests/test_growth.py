@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lemmata import queries
 from lemmata.operators import analogy, contract, deontic, induction, reasoners
 from lemmata.operators.causal import CausalGraph
 
@@ -140,3 +141,10 @@ def test_questions_of_one_shape_are_searched_once(spark, monkeypatch):
     for k in range(1000):
         again.best((f"n{k}", "p", "x"), [(f"n{k}", "q", "y")])
     assert len(made) == 1
+
+
+def test_pairs_of_a_nation_are_dealt_evenly(spark):
+    """The rows of each pair of customer and supplier are made by as many tasks as the customers are dealt to, and aren't shuffled after."""
+    out = queries.conjunction_same_nation(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({queries.DEALT})" in plan and plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
