@@ -91,7 +91,7 @@ class DeductiveReasoner(Reasoner):
 
     def answer_all(self, queries: DataFrame) -> DataFrame:
         key = F.sha2(F.to_json(F.array_sort(F.array_distinct("context"))), 256)
-        asked = materialize(queries.withColumn(CTX, F.coalesce(key, F.lit(""))), "asked")
+        asked = materialize(queries.withColumn(CTX, F.when(F.size("context") > 0, key).otherwise("")), "asked")
         seeds = asked.groupBy(CTX).agg(F.first("context").alias("context")).select(CTX, F.explode("context").alias("t")).select(CTX, "t.*")
         sat = saturate_contexts(self.base, self.rules, seeds)
         proofs = measures(sat, asked, ("depth", "complete", "trace_rule_ids", "leaves", "axioms"))
